@@ -242,7 +242,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in batches:
             n, a, b, all_ids, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                found, said = own.encode(text)
+                found = own.encode(text)
                 back = own.decode(found)
                 n.append(len(found))
                 a.append(hashlib.sha256(own.said(found).encode()).hexdigest())
