@@ -112,13 +112,13 @@ def sql(rules: tuple[Rule, ...] = RULES) -> str:
     canonical = f"regexp_extract({tag('link', f'rel\\s*=\\s*{quote}canonical')}, '(?is)\\bhref\\s*=\\s*{quote}([^\"''\\s>]+)', 1)"
     refresh = f"regexp_extract({tag('meta', f'http-equiv\\s*=\\s*{quote}refresh')}, '(?is)\\burl\\s*=\\s*{quote}([^\"''\\s>]+)', 1)"
     return f"""
-WITH RECURSIVE own AS ({parts("u")} FROM (SELECT page_id, coalesce(url, '') AS u, html FROM pages)))),
+WITH RECURSIVE own AS ({parts("u")} FROM (SELECT page_id, coalesce(url, '') AS u, html FROM pages))))),
 judged AS (SELECT page_id, u, html, host, path, node, {rule} AS rule, {decision} AS decision FROM own),
 links AS (SELECT u, host AS page_host, path AS page_path, node AS src, unnest([{canonical}, {refresh}]) AS link FROM own WHERE node IS NOT NULL AND html IS NOT NULL),
 full_links AS (SELECT src, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN split_part(u, '://', 1) || ':' || link
     WHEN starts_with(link, '/') THEN split_part(u, '://', 1) || '://' || page_host || link
     ELSE split_part(u, '://', 1) || '://' || page_host || regexp_extract(page_path, '^(.*/)', 1) || link END AS u FROM links WHERE link <> ''),
-targets AS ({parts("u")} FROM full_links))),
+targets AS ({parts("u")} FROM full_links)))),
 edges AS (SELECT src AS a, node AS b FROM targets WHERE node IS NOT NULL AND node <> src),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
