@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -53,6 +55,7 @@ class CellAnalysis:
     edges: DataFrame
     sections: DataFrame
     sections_full: DataFrame
+    options: AnalyzeOptions = AnalyzeOptions()
 
 
 def group_of(direction: str) -> str:
@@ -119,6 +122,16 @@ def _tables(cells: list[Place], distance: float) -> dict[Place, int]:
     return {p: root(k) for k, cells_ in enumerate(found) for p in cells_}
 
 
+class Line(NamedTuple):
+    line: str
+    direction: str
+    dist: float
+    role: str
+    name: str
+    tag: str
+    cells: list[tuple[Place, str]]
+
+
 class Sheet:
     """The analysis of one sheet."""
 
@@ -221,43 +234,62 @@ class Sheet:
                 least[a] = min(least.get(a, math.inf), min(x[1] for x in found))
         self.adopted = {k for k, found in self.seen.items() if k[0] in least and min(x[1] for x in found) == least[k[0]]}
 
-    def rows(self) -> list[tuple]:
-        """(kind, row, col, gid, block, line, direction, dist, role, name, tag): data cells, attribute cells, line cells."""
+    def blocks(self) -> dict[str, str]:
+        """Names of the data blocks from left to right, then down."""
         mean = lambda cells, k: round(sum(p[k] for p in cells) / len(cells))
         order = sorted(self.data, key=lambda d: (mean(self.data[d], 1), mean(self.data[d], 0), int(d[1:])))
-        block = {d: f"d{k}" for k, d in enumerate(order, 1)}
+        return {d: f"d{k}" for k, d in enumerate(order, 1)}
+
+    def lines(self, d: str) -> list[Line]:
+        """The header lines of a data block: rows above and below, columns beside, single cells at its corners."""
+        found: dict[tuple[str, str], list[tuple[Place, float, str]]] = defaultdict(list)
+        role: dict[tuple[str, str], str] = {}
+        best: dict[str, float] = {}
+        own = sorted(k for k in self.edges | self.adopted if k[1] == d)
+        for a, _, direction in own:
+            if (a, d, direction) in self.edges and group_of(direction) != "corner":
+                best[group_of(direction)] = max(best.get(group_of(direction), 0.0), self.share(a, d, direction))
+        for a, _, direction in own:
+            group, share = group_of(direction), self.share(a, d, direction)
+            major = (a, d, direction) in self.edges and share > 0 and share >= min(1.0, best.get(group, 1.0))
+            for p, far in self.seen[a, d, direction]:
+                key = direction, f"{direction}:" + (f"r{p[0]}" if group == "NS" else f"c{p[1]}" if group == "WE" else f"{p[0]},{p[1]}")
+                found[key].append((p, far, a))
+                role[key] = "major" if major or role.get(key) == "major" else "minor"
+        columns = {p[1] for (direction, _), cells in found.items() if group_of(direction) == "WE" for p, _, _ in cells}
+        rows = {p[0] for (direction, _), cells in found.items() if group_of(direction) == "NS" for p, _, _ in cells}
+        far = {key: min(x[1] for x in cells) for key, cells in found.items()}
+        rank = {direction: sorted({far[k] for k in found if k[0] == direction}) for direction, _ in found}
+        out = []
+        for key, cells in found.items():
+            direction, name = key
+            side = ""
+            if group_of(direction) == "corner":
+                r, c = cells[0][0]
+                side = "WE_" if c in columns else "NS_" if r in rows else ""
+            tag = best_tag(self.data[d], [p for p, _, _ in cells], direction)
+            out.append(Line(name, direction, far[key], role[key], f"{direction}_{side}{rank[direction].index(far[key]) + 1}", tag, [(p, a) for p, _, a in cells]))
+        return out
+
+    def rows(self) -> list[tuple]:
+        """(kind, row, col, gid, block, line, direction, dist, role, name, tag): data cells, attribute cells, line cells."""
+        block = self.blocks()
         nothing = (None,) * 6
         out: list[tuple] = [("data", *p, d, block[d], *nothing) for d, cells in self.data.items() for p in cells]
         out += [("attribute", *p, a, None, *nothing) for a, cells in self.attr.items() for p in cells]
         for d in self.data:
-            lines: dict[tuple[str, str], list[tuple[Place, float, str]]] = defaultdict(list)
-            role: dict[tuple[str, str], str] = {}
-            best: dict[str, float] = {}
-            for a, own, direction in self.edges:
-                if own == d and group_of(direction) != "corner":
-                    best[group_of(direction)] = max(best.get(group_of(direction), 0.0), self.share(a, d, direction))
-            for a, own, direction in sorted(self.edges | self.adopted):
-                if own != d:
-                    continue
-                group, share = group_of(direction), self.share(a, d, direction)
-                major = (a, own, direction) in self.edges and share > 0 and share >= min(1.0, best.get(group, 1.0))
-                for p, far in self.seen[a, d, direction]:
-                    key = direction, f"{direction}:" + (f"r{p[0]}" if group == "NS" else f"c{p[1]}" if group == "WE" else f"{p[0]},{p[1]}")
-                    lines[key].append((p, far, a))
-                    role[key] = "major" if major or role.get(key) == "major" else "minor"
-            columns = {p[1] for (direction, _), found in lines.items() if group_of(direction) == "WE" for p, _, _ in found}
-            rows = {p[0] for (direction, _), found in lines.items() if group_of(direction) == "NS" for p, _, _ in found}
-            far = {key: min(x[1] for x in found) for key, found in lines.items()}
-            rank = {direction: sorted({far[k] for k in lines if k[0] == direction}) for direction, _ in lines}
-            for key, found in lines.items():
-                direction, line = key
-                side = ""
-                if group_of(direction) == "corner":
-                    r, c = found[0][0]
-                    side = "WE_" if c in columns else "NS_" if r in rows else ""
-                name = f"{direction}_{side}{rank[direction].index(far[key]) + 1}"
-                tag = best_tag(self.data[d], [p for p, _, _ in found], direction)
-                out += [("line", *p, d, block[d], line, direction, far[key], role[key], name, f"{tag}|{a}") for p, _, a in found]
+            out += [("line", *p, d, block[d], x.line, x.direction, x.dist, x.role, x.name, f"{x.tag}|{a}") for x in self.lines(d) for p, a in x.cells]
+        return out
+
+    def pairs(self, major_only: bool = False) -> list[tuple]:
+        """(block, row, col, name, header row, header col) of every data cell and header line that reaches it."""
+        block = self.blocks()
+        out: list[tuple] = []
+        for d, cells in self.data.items():
+            for x in self.lines(d):
+                if x.role == "major" or not major_only:
+                    place = header_of(x.tag, [p for p, _ in x.cells])
+                    out += [(block[d], *p, x.name, *h) for p in cells if (h := place(p)) is not None]
         return out
 
 
@@ -284,6 +316,28 @@ def best_tag(data: list[Place], header: list[Place], direction: str) -> str:
     return max(tags, key=lambda t: (got[t[1]] / len(need) if len(t) == 2 else exact, -tags.index(t)))
 
 
+def header_of(tag: str, header: list[Place]) -> Callable[[Place], Place | None]:
+    """The header cell that a tag gives a data cell, as headers.attach() does: the first of several in one place."""
+    if tag == "direct":
+        return lambda p: header[0]
+    axis = 1 if tag[0] == "v" else 0
+    by = {p[axis]: p for p in sorted(header, reverse=True)}
+    at = sorted(by)
+    if len(tag) == 1:
+        return lambda p: by.get(p[axis])
+    if tag[1] == "m":
+        middles = [(x + y) / 2 for x, y in zip(at, at[1:], strict=False)]
+        return lambda p: by[at[bisect_right(middles, p[axis])]]
+    if tag[1] in "lu":
+        return lambda p: by[at[k - 1]] if (k := bisect_right(at, p[axis])) else None
+    return lambda p: by[at[k]] if (k := bisect_left(at, p[axis])) < len(at) else None
+
+
+def places(own: pd.DataFrame) -> dict[str, list[Place]]:
+    """The cells of one sheet by type."""
+    return {t: [(int(r), int(c)) for r, c in zip(x["row"], x["col"], strict=True)] for t, x in own.groupby("type")}
+
+
 _FOUND = "sheet_id string, kind string, row int, col int, gid string, data_block string, line string, direction string, dist double, attr_group string, attr_name string, tag string"
 
 
@@ -297,14 +351,14 @@ def analyze_cells(cells: DataFrame, options: AnalyzeOptions | None = None) -> Ce
     cells = cells.where("type <> 'empty'")
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        places = {t: [(int(r), int(c)) for r, c in zip(x["row"], x["col"], strict=True)] for t, x in own.groupby("type")}
-        rows = Sheet(places["value"], places["attribute"], options).rows() if {"value", "attribute"} <= set(places) else []
+        at = places(own)
+        rows = Sheet(at["value"], at["attribute"], options).rows() if {"value", "attribute"} <= set(at) else []
         out = pd.DataFrame(rows, columns=["kind", "row", "col", "gid", "data_block", "line", "direction", "dist", "attr_group", "attr_name", "tag"])
         out.insert(0, "sheet_id", own["sheet_id"].iloc[0])
         return out.astype({"row": "int32", "col": "int32", "dist": "float64"})
 
     found = cells.select(*KEY, "type").distinct().groupBy("sheet_id").applyInPandas(run, _FOUND)
-    found = found.checkpoint() if cells.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else found.persist()
+    found = found.persist()  # several relations read it; it is small, and computed again if an executor is lost
     data = found.where("kind = 'data'").select(*KEY, "gid", "data_block")
     attributes = found.where("kind = 'attribute'").select(*KEY, "gid")
     group = F.when(F.col("direction").isin("N", "S"), "NS").when(F.col("direction").isin("W", "E"), "WE").otherwise("corner")
@@ -315,7 +369,7 @@ def analyze_cells(cells: DataFrame, options: AnalyzeOptions | None = None) -> Ce
     sections = data.groupBy("sheet_id", "data_block").agg(*boxes)
     near = line_cells.where("attr_group = 'major' or dist < 3").select("sheet_id", "data_block", "row", "col")
     full = data.select("sheet_id", "data_block", "row", "col").unionAll(near).groupBy("sheet_id", "data_block").agg(*boxes)
-    return CellAnalysis(cells, data, attributes, line_cells, lines, edges, sections, full)
+    return CellAnalysis(cells, data, attributes, line_cells, lines, edges, sections, full, options)
 
 
 analyse_cells = analyze_cells

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import headers
 from ..schema import LONG
-from .analyze import LINE, CellAnalysis
+from .analyze import CellAnalysis, Sheet, places
 
 ROW = ["sheet_id", "data_block", "row", "col", "value"]
 
@@ -15,20 +15,21 @@ ROW = ["sheet_id", "data_block", "row", "col", "value"]
 def compose_long(ca: CellAnalysis, major_only: bool = False) -> DataFrame:
     """One row per value and header line: (sheet_id, data_block, row, col, value, attr_name, attr_value, attr_row, attr_col).
 
-    All lines with one tag are attached in one join, whatever sheet and block they belong to."""
-    text = ca.cells.select("sheet_id", "row", "col", "value")
-    lines = ca.lines.where("attr_group = 'major'") if major_only else ca.lines
-    key = F.concat_ws("|", *LINE)
-    names = lines.select(key.alias("key"), "sheet_id", F.col("data_gid").alias("gid"), "attr_name", "tag")
-    values = ca.data.join(text, ["sheet_id", "row", "col"]).join(names, ["sheet_id", "gid"])
-    values = values.select(F.col("key").alias("sheet_id"), F.col("sheet_id").alias("sheet"), "data_block", "row", "col", "value", "attr_name", "tag")
-    head = ca.line_cells.join(text, ["sheet_id", "row", "col"]).select(key.alias("sheet_id"), "row", "col", F.col("value").alias("attr_value"), "tag")
-    out = ca.cells.sparkSession.createDataFrame([], LONG)
-    for (tag,) in sorted(ca.lines.select("tag").distinct().collect()):  # nine at most; only joins that are needed are planned
-        part = headers.attach(values.where(F.col("tag") == tag), head.where(F.col("tag") == tag).drop("tag"), tag)
-        part = part.select("sheet", "data_block", "row", "col", "value", "attr_name", "attr_value", "header_row", "header_col")
-        out = out.unionAll(part)
-    return out
+    Cells are dealt by sheet once and each sheet's rows come out whole, so nothing is joined. For sheets beyond a task's
+    memory, headers.attach() gives the same rows for one line and tag."""
+
+    options = ca.options
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        at = places(own)
+        found = Sheet(at["value"], at["attribute"], options).pairs(major_only) if {"value", "attribute"} <= set(at) else []
+        text = dict(zip(zip(own["row"], own["col"], strict=True), own["value"], strict=True))
+        rows = [(block, r, c, text[r, c], name, text[hr, hc], hr, hc) for block, r, c, name, hr, hc in found]
+        out = pd.DataFrame(rows, columns=["data_block", "row", "col", "value", "attr_name", "attr_value", "attr_row", "attr_col"])
+        out.insert(0, "sheet_id", own["sheet_id"].iloc[0])
+        return out.astype({c: "int32" for c in ("row", "col", "attr_row", "attr_col")})
+
+    return ca.cells.select("sheet_id", "row", "col", "type", "value").groupBy("sheet_id").applyInPandas(run, LONG)
 
 
 def compose_wide(long: DataFrame, names: list[str] | None = None, traceback: bool = False) -> DataFrame:
