@@ -594,8 +594,8 @@ def magic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("name", file_type(F.unhex("h")).alias("file_type"))
 
 
-@query("""SELECT * FROM (VALUES (2, 2, '12', 'Weight', 'Nakshatra', 'Kid Name'), (2, 3, '1.5', 'Age', 'Nakshatra', 'Kid Name'), (3, 2, '16', 'Weight', 'Titas', 'Kid Name'), (3, 3, '6', 'Age', 'Titas', 'Kid Name')) AS t("row", col, value, "N_1", "W_1", "NW_WE_1")""")
+@query("""SELECT * FROM (VALUES (2, 2, '12', 'Weight', 'Mira', 'Child'), (2, 3, '1.5', 'Age', 'Mira', 'Child'), (3, 2, '16', 'Weight', 'Otto', 'Child'), (3, 3, '6', 'Age', 'Otto', 'Child')) AS t("row", col, value, "N_1", "W_1", "NW_WE_1")""")
 def read_cells_csv_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([("kids", 1, "Kid Name,Weight,Age"), ("kids", 2, "Nakshatra,12,1.5"), ("kids", 3, "Titas,16,6")], "sheet_id string, line_no int, line string")
+    lines = spark.createDataFrame([("kids", 1, "Child,Weight,Age"), ("kids", 2, "Mira,12,1.5"), ("kids", 3, "Otto,16,6")], "sheet_id string, line_no int, line string")
     wide = compose_wide(compose_long(analyze_cells(classify.numeric_values(text_cells(lines)))))
     return wide.select("row", "col", "value", "N_1", "W_1", "NW_WE_1")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import kept
 from ..schema import GIDMAP, KEY, sheet
 
 
@@ -58,7 +59,7 @@ def components_by_rounds(cells: DataFrame, corners: bool = False, prefix: str =
         w = Window.partitionBy("sheet_id", axis).orderBy(other)
         start = F.when(F.col(other) - F.lag(other).over(w) == 1, 0).otherwise(1)
         now = now.withColumn("_s", start).withColumn(f"run_{axis}", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
-    now = now.checkpoint()
+    now = kept(now)
     for _ in range(max_rounds):
         nxt = now.withColumn("new", F.min("low").over(Window.partitionBy("sheet_id", "row", "run_row")))
         nxt = nxt.withColumn("new", F.min("new").over(Window.partitionBy("sheet_id", "col", "run_col")))
@@ -66,7 +67,7 @@ def components_by_rounds(cells: DataFrame, corners: bool = False, prefix: str =
             near = nxt.select("sheet_id", "new", F.explode(F.expr("array(struct(row + 1 as r, col + 1 as c), struct(row + 1 as r, col - 1 as c), struct(row - 1 as r, col + 1 as c), struct(row - 1 as r, col - 1 as c))")).alias("p"))
             near = near.groupBy("sheet_id", F.col("p.r").alias("row"), F.col("p.c").alias("col")).agg(F.min("new").alias("near"))
             nxt = nxt.join(near, KEY, "left").withColumn("new", F.least("new", F.coalesce("near", "new"))).drop("near")
-        nxt = nxt.checkpoint()
+        nxt = kept(nxt)
         changed = not nxt.where("new <> low").isEmpty()
         now = nxt.withColumn("low", F.col("new")).drop("new")
         if not changed:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.store import kept
 from ..schema import LONG
 from .analyze import CellAnalysis, Sheet, places
 
@@ -53,7 +54,7 @@ def compose_cells(ca: CellAnalysis, wide: bool = True, discard_raw_cols: bool =
 
 def compose_blocks(ca: CellAnalysis) -> dict[tuple[str, str], DataFrame]:
     """The wide form of each (sheet, data block), with its own columns alone."""
-    long = compose_long(ca).checkpoint()
+    long = kept(compose_long(ca))
     found = long.groupBy("sheet_id", "data_block").agg(F.sort_array(F.collect_set("attr_name")).alias("names")).orderBy("sheet_id", "data_block").collect()
     return {(r[0], r[1]): compose_wide(long.where((F.col("sheet_id") == r[0]) & (F.col("data_block") == r[1])), r[2]) for r in found}
 

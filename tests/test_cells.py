@@ -5,7 +5,7 @@ from gridloom.functions import text
 from gridloom.operators import blocks, cells, classify, headers
 from gridloom.schema import validate_cells
 
-KIDS = [["Kid Name", "Weight", "Age"], ["Nakshatra", 12, 1.5], ["Titas", 16, 6]]
+KIDS = [["Child", "Weight", "Age"], ["Mira", 12, 1.5], ["Otto", 16, 6]]
 TWO = [["block 1", "", ""], ["", "A", "B"], ["C", 1, 3], ["D", 2, 4], ["", "", ""], ["block 2", "", ""], ["", "A", "B"], ["C", 10, 30], ["D", 20, 40]]
 
 
@@ -48,7 +48,7 @@ def test_round_trip_and_transforms(spark):
         around = cells.rotate(around)
     assert rows(around, *c.columns) == rows(c, *c.columns)
     wide = cells.densify(c, [1, 2, 3])
-    assert rows(wide.where("row = 2"), "1", "2", "3") == [("Nakshatra", "12", "1.5")]
+    assert rows(wide.where("row = 2"), "1", "2", "3") == [("Mira", "12", "1.5")]
 
 
 def test_layouts(spark):

@@ -12,10 +12,10 @@ from gridloom.sources import html, ooxml, registry
 from gridloom.sources.explore import explore, finding_stats, read_findings, well_names
 from gridloom.streaming.folder import watch_folder
 
-KIDS = [["Kid Name", "Weight", "Age"], ["Nakshatra", 12, 1.5], ["Titas", 16, 6]]
+KIDS = [["Child", "Weight", "Age"], ["Mira", 12, 1.5], ["Otto", 16, 6]]
 TWO = [["block 1", "", ""], ["", "A", "B"], ["C", 1, 3], ["D", 2, 4], ["", "", ""], ["block 2", "", ""], ["", "A", "B"], ["C", 10, 30], ["D", 20, 40]]
-TIDY = [("1.5", "Age", "Nakshatra"), ("12", "Weight", "Nakshatra"), ("16", "Weight", "Titas"), ("6", "Age", "Titas")]
-CSV = "Kid Name,Weight,Age\nNakshatra,12,1.5\nTitas,16,6\n"
+TIDY = [("1.5", "Age", "Mira"), ("12", "Weight", "Mira"), ("16", "Weight", "Otto"), ("6", "Age", "Otto")]
+CSV = "Child,Weight,Age\nMira,12,1.5\nOtto,16,6\n"
 
 
 def analysed(spark, rows):
@@ -29,7 +29,7 @@ def tidy(df, names=("N_1", "W_1")):
 def test_worked_example(spark):
     wide = compose_cells(analysed(spark, KIDS))
     assert tidy(wide) == TIDY
-    assert {r["NW_WE_1"] for r in wide.collect()} == {"Kid Name"}
+    assert {r["NW_WE_1"] for r in wide.collect()} == {"Child"}
 
 
 def test_transposed_sheet_gives_the_same_rows(spark):
@@ -86,11 +86,11 @@ def _xlsx():
         z.writestr("[Content_Types].xml", "<Types/>")
         z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="kids" r:id="rId1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/sharedStrings.xml", "<sst><si><t>Kid Name</t></si><si><t>Weight</t></si></sst>")
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>Child</t></si><si><t>Weight</t></si></sst>")
         z.writestr("xl/styles.xml", '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
         body = '<row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="inlineStr"><is><t>Age</t></is></c></row>'
-        body += '<row><c r="A2" t="inlineStr"><is><t>Nakshatra</t></is></c><c r="B2"><v>12</v></c><c r="C2"><v>1.5</v></c></row>'
-        body += '<row><c r="A3" t="inlineStr"><is><t>Titas</t></is></c><c r="B3"><v>16</v></c><c r="C3"><v>6</v></c></row>'
+        body += '<row><c r="A2" t="inlineStr"><is><t>Mira</t></is></c><c r="B2"><v>12</v></c><c r="C2"><v>1.5</v></c></row>'
+        body += '<row><c r="A3" t="inlineStr"><is><t>Otto</t></is></c><c r="B3"><v>16</v></c><c r="C3"><v>6</v></c></row>'
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>")
     return out.getvalue()
 
