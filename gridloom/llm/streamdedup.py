@@ -55,6 +55,9 @@ def retained(path: str, like: DataFrame) -> DataFrame:
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        # a store per partition: without space set aside for each, and with changes rather than whole files sent at a commit
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     before = {k: spark.conf.get(k, None) for k in conf}
     out = new_path(spark, "retained")
