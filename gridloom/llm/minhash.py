@@ -9,8 +9,8 @@ together miss such a pair with probability 1e-4 at most.
 * A run of documents that share k values and has at most RUN members gives all its pairs.
 * A longer run goes deeper, until its parts are that small, and gives the pairs of those parts and of sorted neighbours.
 * Links that the full sets confirm are joined into components. Where a long run still holds several components, every
-  member outside the run's largest component meets every member of the other components, in salted blocks; those whose
-  signatures agree as such a link would within five standard deviations are confirmed too. So depth costs no links.
+  member outside the run's largest component meets every member of the other components, in salted blocks; where the
+  signatures agree as such a link's would within five standard deviations, the full sets decide. So depth costs no links.
 
 Cases: null texts count as empty; documents without words have n_shingles 0 and are linked with nothing; rows that
 share an id are one document; a null id is linked with nothing and gives component_id null and kept true; ties go to the
@@ -37,6 +37,9 @@ OWN = 8
 DEPTH = 16
 #: Documents that a run may have for all its pairs to be candidates.
 RUN = 6
+#: Trees whose long runs give the pairs of deeper parts and of sorted neighbours, and more that give neighbours alone.
+FIRST_TREES = 4
+SIDE_TREES = 10
 #: Labels of a task, and members of a long run in one block.
 TASK_LABELS = 100_000
 BLOCK = 2_000
@@ -119,29 +122,34 @@ def _candidates(depth: int, num: int, den: int):
             b.append(np.maximum(ids[i], ids[j]))
             key.append(np.zeros(len(i), np.int64))
 
-        small, total = [], len(ids)
-        stack = [(lo, hi, depth) for lo, hi in _runs(common, 0, total, depth) if hi - lo > 1 or lo == 0 or hi == total]
-        for lo, hi, _ in stack:
+        small, total = [], len(ids)  # small: (from, to) of parts that give all pairs
+        stack = []
+        for lo, hi in _runs(common, 0, total, depth):
             if hi - lo > RUN or lo == 0 or hi == total:  # long, or perhaps going on in the next task
                 prefix = blake2b(bytes([tree[lo]]) + label[lo, :depth].tobytes(), digest_size=8).digest()
                 kind.append(np.full(hi - lo, 2))
                 a.append(ids[lo:hi])
-                b.append(ids[lo:hi])
+                b.append(np.full(hi - lo, tree[lo]))
                 key.append(np.full(hi - lo, int.from_bytes(prefix, "little", signed=True)))
+            if hi - lo > RUN:
+                if tree[lo] < SIDE_TREES:
+                    side = np.arange(lo, hi - 1)
+                    pairs(side, side + 1, 0 if tree[lo] < FIRST_TREES else 1)
+                if tree[lo] < FIRST_TREES:
+                    stack.append((lo, hi, depth))
+            elif hi - lo > 1:
+                small.append((lo, hi))
         while stack:
             lo, hi, at = stack.pop()
             if hi - lo <= RUN:
                 small.append((lo, hi))
-            else:
-                side = np.arange(lo, hi - 1)
-                pairs(side, side + 1, np.where(tree[side] < 4, 0, 1))
-                if at < DEPTH:
-                    stack += [(x, y, at + 1) for x, y in _runs(common, lo, hi, at + 1) if y - x > 1]
+            elif at < DEPTH:
+                stack += [(x, y, at + 1) for x, y in _runs(common, lo, hi, at + 1) if y - x > 1]
         for size in range(2, RUN + 1):
             at = np.array([lo for lo, hi in small if hi - lo == size], np.int64)
             if len(at):
                 i, j = np.triu_indices(size, 1)
-                pairs((at[:, None] + i).ravel(), (at[:, None] + j).ravel(), 0 if size <= 3 else np.where(np.repeat(tree[at], len(i)) < 4, 0, 1))
+                pairs((at[:, None] + i).ravel(), (at[:, None] + j).ravel(), 0 if size <= 3 else np.where(np.repeat(tree[at], len(i)) < FIRST_TREES, 0, 1))
         if kind:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kind).astype(np.int32)), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b, key))], ["kind", "a", "b", "run"])
 
@@ -198,31 +206,43 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def _left_over(dense: DataFrame, found: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of long runs that hold several components: members outside the largest one with those of the others."""
-    members = written(dense.join(found.withColumnRenamed("node", "id"), "id", "left").select("run", "id", F.coalesce("component", "id").alias("c")), "members")
+def _left_over(dense: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, depth: int, num: int, den: int) -> DataFrame:
+    """Links across the components of long runs: members outside a run's largest component meet those of the others.
+
+    A pair is looked at in the first tree that puts it in one run. Where the signatures agree as a link's would, the full
+    sets are compared on the spot, so that only links leave the task, one for each document and component."""
+    members = written(dense.join(found.withColumnRenamed("node", "id"), "id", "left").select("run", "tree", "id", F.coalesce("component", "id").alias("c")), "members")
     by = members.groupBy("run", "c").count().groupBy("run").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), F.max(F.struct("count", "c")).alias("largest"))
     runs = by.where("parts > 1").select("run", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("largest.c").alias("most"))
-    rows = written(members.join(runs, "run").join(classes.select("id", "n", "sig"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")), "left-over")
+    rows = members.join(runs, "run").join(classes.select("id", "n", "sig"), "id").join(sets, "id")
+    rows = written(rows.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")), "left-over")
     out = rows.where("c <> most").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     least = num / den - 5 * math.sqrt(num / den * (1 - num / den) / _K)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        x = np.frombuffer(b"".join(left["sig"]), np.uint16).reshape(-1, _K)
-        y = np.frombuffer(b"".join(right["sig"]), np.uint16).reshape(-1, _K)
-        ids, n, c = right["id"].to_numpy(), right["n"].to_numpy(), right["c"].to_numpy()
-        a, b = [], []
-        for i, own, size, part in zip(range(len(x)), left["id"], left["n"], left["c"], strict=True):
-            near = (c != part) & (np.minimum(n, size) * den >= num * np.maximum(n, size))
-            j = np.flatnonzero(near)
-            j = j[(y[j] == x[i]).mean(axis=1) >= least] if len(j) else j
-            a.append(np.minimum(ids[j], own))
-            b.append(np.maximum(ids[j], own))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return out.groupBy("run", "block").cogroup(rows.groupBy("run", "block")).applyInPandas(meet, "a bigint, b bigint").distinct()
+        links: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            x, y = (np.frombuffer(b"".join(side["sig"]), np.uint16).reshape(-1, _K) for side in (left, right))
+            ids, n, c = right["id"].to_numpy(), right["n"].to_numpy(), right["c"].to_numpy()
+            full = [np.frombuffer(s, np.uint64) for s in right["set"]]
+            tree = int(left["tree"].iloc[0])
+            for i, own, size, part, raw in zip(range(len(x)), left["id"], left["n"], left["c"], left["set"], strict=True):
+                j = np.flatnonzero((c != part) & (np.minimum(n, size) * den >= num * np.maximum(n, size)))
+                same = y[j] == x[i]
+                alike = same.mean(axis=1)
+                first = same.reshape(-1, TREES, OWN)[:, :, :depth].all(axis=2).argmax(axis=1) == tree
+                take = np.flatnonzero(first & (alike >= least))
+                mine, done = np.frombuffer(raw, np.uint64), {part}
+                for k in j[take[np.argsort(-alike[take], kind="stable")]]:
+                    if c[k] in done:
+                        continue
+                    both = len(np.intersect1d(mine, full[k], assume_unique=True))
+                    if den * both >= num * (len(mine) + len(full[k]) - both):
+                        done.add(c[k])
+                        links.append((min(own, ids[k]), max(own, ids[k])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return written(out.groupBy("run", "block").cogroup(rows.groupBy("run", "block")).applyInPandas(meet, "a bigint, b bigint"), "last-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -237,8 +257,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = classes.select("id", "n", "sig").mapInArrow(_labels, "tree int, label binary, id bigint, n bigint")
     keys = ("tree", "label", "id")
     forest = rows.repartitionByRange(max(1, math.ceil(count * TREES / TASK_LABELS)), *keys).sortWithinPartitions(*keys)
-    met = written(forest.mapInArrow(_candidates(depth_for(num, den), num, den), "kind int, a bigint, b bigint, run bigint"), "candidates")
-    dense = met.where("kind = 2").select("run", F.col("a").alias("id")).distinct()
+    depth = depth_for(num, den)
+    met = written(forest.mapInArrow(_candidates(depth, num, den), "kind int, a bigint, b bigint, run bigint"), "candidates")
+    dense = met.where("kind = 2").select("run", F.col("a").alias("id"), F.col("b").cast("int").alias("tree")).distinct()
     crowded = dense.groupBy("run").count().where("count > 1").select("run")
     dense = written(dense.join(crowded, "run"), "dense")
     pairs = written(met.where("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind")), "pairs")
@@ -249,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _confirmed(_apart(pairs.where("kind = 1"), found), sets, num, den)
     star = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     found = written(components(star.unionAll(more)), "components")
-    last = _confirmed(_apart(_left_over(dense, found, classes, num, den), found), sets, num, den)
+    last = _left_over(dense, found, classes, sets, depth, num, den)
     star = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     found = written(components(star.unionAll(last)), "components")
     own = classes.select("fp", F.col("id").alias("node")).join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
