@@ -337,6 +337,30 @@ def test_fuzzy_lines_equal_brute_force(spark):
     assert got == want and len(want) >= 8
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_lines_find_what_edit_similarity_alone_finds(spark):
+    r = random.Random(12)
+    vocabulary = " ".join(prose(12, 80)).split()
+    base = [" ".join(r.choices(vocabulary, k=r.randint(3, 40))) for _ in range(40)]
+    texts = base + [edited(t, 1, k) for k, t in enumerate(base)] + [t[: len(t) // 2] + "q" + t[len(t) // 2 + 1 :] for t in base]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if texts[i] != texts[j] and min(len(texts[i]), len(texts[j])) >= 0.85 * max(len(texts[i]), len(texts[j])) and edits(texts[i], texts[j]) <= 0.15 * max(len(texts[i]), len(texts[j]))]
+    got = {x["doc_id"]: x["group_id"] for x in linededup.fuzzy_lines(frame(spark, texts)).collect()}
+    together = sum(got[i] is not None and got[i] == got[j] for i, j in near)
+    assert len(near) > 60 and together >= 0.97 * len(near), (together, len(near))
+    reach = list(range(len(texts)))
+    for i, j in near:
+        reach = [min(reach[i], reach[j]) if x in (reach[i], reach[j]) else x for x in reach]
+    assert all(reach[i] == reach[g] for i, g in got.items() if g is not None)  # and nothing else falls together
+
+
 def test_lines_without_repeats(spark):
     got = {r["doc_id"]: r["text"] for r in linededup.without_repeats(frame(spark, ["a b c\nkeep", "A b  c!\nnew", None, ""])).collect()}
     assert got == {0: "a b c\nkeep", 1: "new", 2: None, 3: ""}
