@@ -203,6 +203,14 @@ def test_main_text(spark):
     assert htmltext.extracted(pages.where("false")).count() == 0
 
 
+def test_article_cut_by_an_advert_is_kept_whole():
+    advert = '<div class="ad">Buy</div>'
+    body = "".join(f"<p>{'x' * n}</p>" for n in (700, 500, 800, 600))
+    ends = f"<p>{'y' * 120}</p><p>{'z' * 90}</p>"
+    got = htmltext.main_text(f"<body><article><h1>{'t' * 60}</h1>{advert}{body}{advert}{ends}{advert}<p><a href=/s>source of it</a></p></article></body>")
+    assert [len(x) for x in got.split("\n")] == [60, 700, 500, 800, 600, 120, 90, 12]
+
+
 def test_unclosed_boilerplate_is_not_stripped():
     assert htmltext.main_text("<div class=ad>x<p>text that stays</p>") == "x\ntext that stays" or "text that stays" in htmltext.main_text("<div class=ad>x<p>text that stays</p>")
 
