@@ -211,6 +211,11 @@ def test_article_cut_by_an_advert_is_kept_whole():
     assert [len(x) for x in got.split("\n")] == [60, 700, 500, 800, 600, 120, 90, 12]
 
 
+@pytest.mark.parametrize("other", ["<!-- <article> -->", "<script>'<main>'</script>", "<template><article>x</article></template>", "<aside><article><p>Teaser</p></article></aside>", "<div class=related><article>Card</article></div>", "<article></article>"])
+def test_article_that_is_not_entered_hides_no_text(other):
+    assert htmltext.main_text(f"<body>{other}<div><p>Body text of the page.</p><p>More of it.</p></div></body>") == "Body text of the page.\nMore of it."
+
+
 def test_unclosed_boilerplate_is_not_stripped():
     assert htmltext.main_text("<div class=ad>x<p>text that stays</p>") == "x\ntext that stays" or "text that stays" in htmltext.main_text("<div class=ad>x<p>text that stays</p>")
 
