@@ -269,6 +269,13 @@ class Sheet:
                 side = "WE_" if c in columns else "NS_" if r in rows else ""
             tag = best_tag(self.data[d], [p for p, _, _ in cells], direction)
             out.append(Line(name, direction, far[key], role[key], f"{direction}_{side}{rank[direction].index(far[key]) + 1}", tag, [(p, a) for p, _, a in cells]))
+        named: dict[str, list[int]] = defaultdict(list)
+        for k, x in enumerate(out):
+            named[x.name].append(k)
+        for name, own in named.items():  # corner cells may be equally far: _1, _2 in order of place
+            if len(own) > 1:
+                for i, k in enumerate(sorted(own, key=lambda k: out[k].cells[0][0]), 1):
+                    out[k] = out[k]._replace(name=f"{name}_{i}")
         return out
 
     def rows(self) -> list[tuple]:

@@ -32,6 +32,17 @@ def test_worked_example(spark):
     assert {r["NW_WE_1"] for r in wide.collect()} == {"Child"}
 
 
+def test_corner_of_two_by_two_loses_no_header(spark):
+    rows = [["P", "Q", "A", "B"], ["R", "S", "C", "D"], ["x", "y", 1, 2], ["z", "w", 3, 4]]
+    ca = analysed(spark, rows)
+    wide = compose_cells(ca).collect()
+    assert len(wide) == 4
+    for r in wide:
+        assert {"P", "Q", "R", "S"} <= set(r), r
+    names = [tuple(r) for r in compose_long(ca).select("row", "col", "attr_name").collect()]
+    assert len(names) == len(set(names))
+
+
 def test_transposed_sheet_gives_the_same_rows(spark):
     turned = [list(r) for r in zip(*KIDS, strict=True)]
     assert tidy(compose_cells(analysed(spark, turned)), ("W_1", "N_1")) == TIDY
