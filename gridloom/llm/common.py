@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows an Arrow batch may hold when whole texts travel to Python; a batch's memory is this times the text length.
+#: Rows of whole texts that a worker takes from an Arrow batch at a time.
 TEXT_BATCH_ROWS = 256
 
 #: Words longer than this, in bytes, are hashed by BLAKE2 instead of the vectorised polynomial.
@@ -25,39 +30,103 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); where unset, one is set, as in tests."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir). Where it is unset a local session, as in
+    tests, gets one; a cluster has none to fall back to, since a folder of one machine is not seen by the others."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = held.get()
     return where.rstrip("/")
 
 
+#: The open scopes of the running thread, the innermost last: the paths that each removes at its end.
+_scopes: ContextVar[tuple[set[str], ...]] = ContextVar("scopes", default=())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    for held in _scopes.get()[-1:]:
+        held.add(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Removes at its end the tables made within, but for those handed to the function it gives, which belong to the
+    scope around it. What leaves the scope must not read removed tables any more."""
+    outer, own = _scopes.get(), set()
+    _scopes.set((*outer, own))
+
+    def keep(*tables: DataFrame | str) -> None:
+        kept = {t if isinstance(t, str) else t._written_at for t in tables}
+        own.difference_update(kept)
+        for held in outer[-1:]:
+            held.update(kept)
+
+    try:
+        yield keep
+    finally:
+        _scopes.set(outer)
+        for path in own:
+            remove(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and survives lost executors."""
+    """df as a Parquet table in the shared folder: lineage ends there and survives lost executors. The shuffle files of the
+    job go as soon as the table is there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return opened(spark, df.schema, path)
+
+
+def opened(spark: SparkSession, schema: StructType | str, path: str) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that written() made and that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df._written_at)
+
+
+def filter_of(ids: DataFrame, bits: int) -> np.ndarray:
+    """A one-hash Bloom filter of fixed size over the column `at` (values below `bits`), put together on the executors."""
+    words = ids.selectExpr("cast(shiftright(at, 5) as int) as word", "shiftleft(1L, cast(at & 31 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Removes a table that written() made and that nothing reads any more."""
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def passes(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the filter has the places."""
+    return (held[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bounds the Arrow batches that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded(batches: Iterator[pa.RecordBatch], rows: int = TEXT_BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows. Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB);
+    the slices bound what a worker holds of it as Python objects."""
+    for batch in batches:
+        for lo in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(lo, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,8 +210,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Alternates large-star and small-star rounds; each round is written to the shared folder. Minima are
     pre-aggregated before the shuffle, and a hub's edges meet its minimum in an inner join, which adaptive
-    execution may split, so no task has to hold all the edges of one node."""
-    spark = edges.sparkSession
+    execution may split, so no task has to hold all the edges of one node. The caller may discard the result, a written
+    table, once it is read."""
     now = written(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo <> hi").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
@@ -155,11 +224,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = small.select("lo", F.explode(F.array("mid", "hi")).alias("hi")).where("lo <> hi").distinct()
         old, now = now, written(small, "small-star")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        for gone in (old, large):
-            discard(spark, gone)
+        discard(old, large)
         if mark == seen:
             break
         seen = mark
     else:
         raise RuntimeError(f"components: not settled after {max_rounds} rounds")
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    out = written(now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()), "components")
+    discard(now)
+    return out

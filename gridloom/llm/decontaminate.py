@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, written
+from .common import bounded, written
 
 BLOCK_WORDS = 1_000_000
 MIN_MATCH = 5
@@ -153,7 +153,6 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, min_match: int)
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
     """(id, item_id, n_words, n_marked, n_tiles, coverage) of the pairs whose coverage reaches the threshold."""
     spark = docs.sparkSession
-    small_batches(spark)
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, item_id bigint, n_words bigint, n_marked bigint, n_tiles bigint, coverage double"
 
     def against(index: Index) -> DataFrame:
@@ -161,7 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = held.value
-            for batch in batches:
+            for batch in bounded(batches):
                 rows, found = [], []
                 for k, text in enumerate(batch.column(1).to_pylist()):
                     best: dict[int, tuple[int, int, int, int]] = {}

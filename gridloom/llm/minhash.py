@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, components, mix64, new_path, small_batches, written
+from .common import WordHasher, bounded, components, discard, filter_of, mix64, passes, scratch, written
 
 TREES = 20
 #: Hash functions of a tree's own; a label goes on with those of the following trees.
@@ -40,9 +40,11 @@ RUN = 6
 #: Trees whose long runs give the pairs of deeper parts and of sorted neighbours, and more that give neighbours alone.
 FIRST_TREES = 4
 SIDE_TREES = 10
-#: Labels of a task, and members of a long run in one block.
+#: Labels of a task.
 TASK_LABELS = 100_000
-BLOCK = 2_000
+#: Members of a long run in one block, and shingles in one block (8 bytes each), on either side of a comparison.
+BLOCK = 500
+BLOCK_SHINGLES = 4_000_000
 #: Bits of the filter that tells which documents have candidates: 2 MB at most, whatever the input.
 FILTER_BITS = 1 << 24
 
@@ -70,7 +72,7 @@ def depth_for(num: int, den: int) -> int:
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in batches:
+        for batch in bounded(batches):
             n, fp, sig = [], [], []
             for text in batch.column(1).to_pylist():
                 s = hasher.shingles((text or "").encode("utf-8", "surrogatepass").lower(), width)
@@ -156,26 +158,14 @@ def _candidates(depth: int, num: int, den: int):
     return run
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A one-hash Bloom filter of fixed size over ids, put together on the executors."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("at")
-    words = ids.select(at).selectExpr("cast(shiftright(at, 5) as int) as word", "shiftleft(1L, cast(at & 31 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    found = words.toArrow()
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return out
-
-
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
     """(id, set) of the documents that have candidates, and of few others."""
-    held = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("at")), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits = WordHasher(), held.value
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            take = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
-            batch = batch.take(pa.array(take))
+        for batch in bounded(batches):
+            batch = batch.filter(pa.array(passes(bits, batch.column(2).to_numpy())))
             sets = [hasher.shingles((x or "").encode("utf-8", "surrogatepass").lower(), width).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
@@ -187,7 +177,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     """The pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -209,14 +199,19 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def _left_over(dense: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, depth: int, num: int, den: int) -> DataFrame:
     """Links across the components of long runs: members outside a run's largest component meet those of the others.
 
-    A pair is looked at in the first tree that puts it in one run. Where the signatures agree as a link's would, the full
-    sets are compared on the spot, so that only links leave the task, one for each document and component."""
-    members = written(dense.join(found.withColumnRenamed("node", "id"), "id", "left").select("run", "tree", "id", F.coalesce("component", "id").alias("c")), "members")
-    by = members.groupBy("run", "c").count().groupBy("run").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), F.max(F.struct("count", "c")).alias("largest"))
-    runs = by.where("parts > 1").select("run", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("largest.c").alias("most"))
-    rows = members.join(runs, "run").join(classes.select("id", "n", "sig"), "id").join(sets, "id")
-    rows = written(rows.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")), "left-over")
-    out = rows.where("c <> most").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    Both sides are dealt over salted blocks, so that a task holds two blocks of BLOCK members and BLOCK_SHINGLES shingles
+    at most on the average, whatever the run. A pair is looked at in the first tree that puts it in one run. Where the
+    signatures agree as a link's would, the full sets are compared on the spot, so that only links leave the task, one for
+    each document and component."""
+    members = written(dense.join(found.withColumnRenamed("node", "id"), "id", "left").join(classes.select("id", "n"), "id").select("run", "tree", "id", "n", F.coalesce("component", "id").alias("c")), "members")
+    by = members.groupBy("run", "c").agg(F.count("*").alias("count"), F.sum("n").alias("n")).groupBy("run")
+    by = by.agg(F.sum("count").alias("size"), F.sum("n").alias("weight"), F.count("*").alias("parts"), F.max(F.struct("count", "c", "n")).alias("largest")).where("parts > 1")
+    blocks = lambda rows, shingles: F.ceil(F.greatest(1.5 * rows / BLOCK, 1.5 * shingles / BLOCK_SHINGLES)).cast("int")  # noqa: E731  hashing deals unevenly
+    runs = by.select("run", F.col("largest.c").alias("most"), blocks(F.col("size"), F.col("weight")).alias("rights"), blocks(F.col("size") - F.col("largest.count"), F.col("weight") - F.col("largest.n")).alias("lefts"))
+    rows = written(members.join(runs, "run").join(classes.select("id", "sig"), "id").join(sets, "id"), "left-over")
+    spread = lambda side, count, salt: F.expr(f"cast(pmod(xxhash64(id, {salt}), {count}) as int)").alias(side)
+    out = rows.where("c <> most").select("run", "tree", "id", "n", "c", "sig", "set", spread("i", "lefts", 0), F.explode(F.expr("sequence(0, rights - 1)")).alias("j"))
+    rows = rows.select("run", "id", "n", "c", "sig", "set", spread("j", "rights", 1), F.explode(F.expr("sequence(0, lefts - 1)")).alias("i"))
     least = num / den - 5 * math.sqrt(num / den * (1 - num / den) / _K)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -242,16 +237,12 @@ def _left_over(dense: DataFrame, found: DataFrame, classes: DataFrame, sets: Dat
                         links.append((min(own, ids[k]), max(own, ids[k])))
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    return written(out.groupBy("run", "block").cogroup(rows.groupBy("run", "block")).applyInPandas(meet, "a bigint, b bigint"), "last-links")
+    return written(out.groupBy("run", "i", "j").cogroup(rows.groupBy("run", "i", "j")).applyInPandas(meet, "a bigint, b bigint"), "last-links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row; linked: den * intersection >= num * union of the shingle sets."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    path = new_path(spark, "signatures")
-    _signed(docs, id_col, text_col, width).write.parquet(path)
-    signed = spark.read.schema("id bigint, n bigint, fp binary, sig binary").parquet(path)
+def _classified(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """(id, n, component) of every row; component: null without words."""
+    signed = written(_signed(docs, id_col, text_col, width), "signatures")
     classes = written(signed.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     count = classes.count()
     rows = classes.select("id", "n", "sig").mapInArrow(_labels, "tree int, label binary, id bigint, n bigint")
@@ -263,18 +254,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = dense.groupBy("run").count().where("count > 1").select("run")
     dense = written(dense.join(crowded, "run"), "dense")
     pairs = written(met.where("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind")), "pairs")
+    discard(met)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(dense.select("id"))
     sets = _sets(docs, id_col, text_col, width, wanted)
-    links = _confirmed(pairs.where("kind = 0").select("a", "b"), sets, num, den)
-    found = written(components(links), "components")
+    found = components(_confirmed(pairs.where("kind = 0").select("a", "b"), sets, num, den))
     more = _confirmed(_apart(pairs.where("kind = 1"), found), sets, num, den)
-    star = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    found = written(components(star.unionAll(more)), "components")
+    found = components(_star(found).unionAll(more))
     last = _left_over(dense, found, classes, sets, depth, num, den)
-    star = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    found = written(components(star.unionAll(last)), "components")
+    found = components(_star(found).unionAll(last))
     own = classes.select("fp", F.col("id").alias("node")).join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    out = signed.select("id", "n", "fp").join(own, "fp", "left")
+    return written(signed.select("id", "n", "fp").join(own, "fp", "left").select("id", "n", "component"), "near-classes")
+
+
+def _star(found: DataFrame) -> DataFrame:
+    return found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row; linked: den * intersection >= num * union of the shingle sets."""
+    with scratch(docs.sparkSession) as keep:
+        out = _classified(docs, id_col, text_col, width, num, den)
+        keep(out)
     component = F.when(F.col("n") > 0, F.least(F.coalesce("component", "id"), "id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

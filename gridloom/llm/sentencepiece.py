@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import bounded
 
 MARK = "▁"
 #: Entries that a worker's caches of words and of piece pairs hold before they start anew.
@@ -233,13 +233,12 @@ def encoder(model_file: str) -> BacktrackingEncoder:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None, ids: bool = True, decoded: bool = True) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]) of every row. model_file: a path that each executor has."""
     model = model_file or default_model()
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
-        for batch in batches:
+        for batch in bounded(batches):
             n, a, b, all_ids, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = own.encode(text)

@@ -16,12 +16,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, written
+from .common import bounded, filter_of, new_path, opened, scratch, written
 
 #: Files of arrivals that a micro-batch takes.
 FILES = 64
@@ -41,7 +40,7 @@ def arrivals(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[byte
     """(id, locator, digest); works on streams as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             found = [digest(normalised(x)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "locator", "digest"])
 
@@ -90,14 +89,11 @@ def _any(spark, path: str) -> bool:
 def _texts_of(docs: DataFrame, id_col: str, text_col: str, hits: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
     """(id, digest, raw) of the documents whose digests are hits, and of few others."""
     at = F.expr(f"cast(conv(hex(substring(digest, 1, 4)), 16, 10) as bigint) % {FILTER_BITS}").alias("at")
-    words = hits.select(at).selectExpr("cast(shiftright(at, 5) as int) as word", "shiftleft(1L, cast(at & 31 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(hits.select(at), FILTER_BITS))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
-        for batch in batches:
+        for batch in bounded(batches):
             ids, digests, raws = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = digest(raw := normalised(text))
@@ -114,19 +110,20 @@ def _texts_of(docs: DataFrame, id_col: str, text_col: str, hits: DataFrame, dige
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256, locator) of every row; locator: the file that holds the row that stays."""
     spark = docs.sparkSession
-    small_batches(spark)
-    path = new_path(spark, "arrivals")
-    arrivals(docs, id_col, text_col, digest).write.parquet(path)
-    schema = "id bigint, locator string, digest binary"
-    rows = spark.read.schema(schema).parquet(path)
-    state = written(retained(path, rows), "state-of-digests")
-    hits = state.where("group_size > 1").select("digest")
-    texts = _texts_of(docs, id_col, text_col, hits, digest)
-    classes = texts.groupBy("digest", "raw").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    split = written(classes.groupBy("digest").count().where("count > 1").select("digest"), "collisions")
-    out = rows.select("id", "digest").join(state, "digest")
-    if not split.isEmpty():  # different texts with one digest: their classes are those of the full bytes
-        apart = texts.join(split, "digest", "left_semi").join(classes, ["digest", "raw"]).select("id", "digest", "keep_id", "group_size")
-        out = out.join(split, "digest", "left_anti").unionByName(apart, allowMissingColumns=True)
+    with scratch(spark) as keep:
+        path = new_path(spark, "arrivals")
+        arrivals(docs, id_col, text_col, digest).write.parquet(path)
+        rows = opened(spark, "id bigint, locator string, digest binary", path)
+        state = written(retained(path, rows), "state-of-digests")
+        hits = state.where("group_size > 1").select("digest")
+        texts = _texts_of(docs, id_col, text_col, hits, digest)
+        classes = texts.groupBy("digest", "raw").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        split = written(classes.groupBy("digest").count().where("count > 1").select("digest"), "collisions")
+        out = rows.select("id", "digest").join(state, "digest")
+        if not split.isEmpty():  # different texts with one digest: their classes are those of the full bytes
+            apart = written(texts.join(split, "digest", "left_semi").join(classes, ["digest", "raw"]).select("id", "digest", "keep_id", "group_size"), "collided")
+            out = out.join(split, "digest", "left_anti").unionByName(apart, allowMissingColumns=True)
+            keep(split, apart)
+        keep(rows, state)
     hexed = F.lower(F.hex("digest"))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), hexed.alias("text_sha256"), "locator")

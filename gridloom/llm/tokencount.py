@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import bounded, written
 
 BLOCK_TOKENS = 1 << 16
 FAN = 1024
@@ -55,7 +55,6 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ids: the documents whose separators lie in the block, in their order; the scan itself reads the payload alone."""
     path = ranks_file or default_ranks()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_ordinary
@@ -78,7 +77,7 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             parts, size = [flat[at:]], len(flat) - at
             ends = [(e - at, i) for e, i in ends]
 
-        for batch in batches:
+        for batch in bounded(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = encode(text) if text else []
                 found.append(separator)
@@ -97,14 +96,13 @@ def read_token_files(spark: SparkSession, path: str, width: int = 2, block_token
     step = width * block_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 whole = raw.as_buffer()
                 for k, at in enumerate(range(0, whole.size - whole.size % width, step)):
                     part = whole.slice(at, min(step, whole.size - whole.size % width - at)).to_pybytes()
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([part], pa.binary()), pa.array([[]], pa.list_(pa.int64()))], ["file", "block", "payload", "ids"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, BLOCKS)
 
 
@@ -113,7 +111,7 @@ def separators(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2) ->
     kind = {2: np.uint16, 4: np.uint32}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             flat = [np.frombuffer(x or b"", kind) for x in batch.column(2).to_pylist()]
             ends = pa.array([np.flatnonzero(x == separator) for x in flat], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in flat], pa.int64()), ends, batch.column(3)], ["file", "block", "n", "ends", "ids"])

@@ -88,7 +88,7 @@ def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     if edges.isEmpty():
         own = own.withColumn("component", F.lit(None).cast("string")).withColumn("held", F.lit(None).cast("string"))
     else:
-        found = written(components(edges, "src", "dst"), "alias-classes")
+        found = components(edges, "src", "dst")
         judged = ruled(parsed(found.select("node", "component", F.concat(F.lit("x://"), "node").alias("url")).drop("node")), rules)
         classes = judged.groupBy("component").agg(F.max((F.col("decision") == "allow").cast("int")).alias("allow"), F.max((F.col("decision") == "block").cast("int")).alias("block"))
         held = F.when(F.col("allow") == 1, "allow").when(F.col("block") == 1, "block")

@@ -241,8 +241,10 @@ def test_toxicity_learns_words_and_families(spark):
     odd = [k for k in range(400) if k % 2]
     assert np.mean([(got[k] >= 0.5) == bool(y[k]) for k in range(400)]) > 0.97 and all(got[k] < 0.5 for k in odd)
     assert got[400] == got[401] < 0.5 and got[402] > 0.5
-    kept = toxicity.scored(docs, model, keep=True)
+    kept = toxicity.scored(docs, model, keep="toxicity_score")
     assert kept.columns == [*docs.columns, "toxicity_score"]
+    with pytest.raises(ValueError, match="N_CHARS"):
+        toxicity.scored(docs, model, keep="N_CHARS")
     assert toxicity.scored(docs.where("false"), model).count() == 0
     alone = toxicity.fit(docs, labels.where("false"))
     assert all(0 <= r["score"] <= 1 for r in toxicity.scored(docs, alone).collect())
@@ -256,7 +258,7 @@ def test_label_model_finds_accuracies_and_counts_copies_once():
     for k in range(5):
         votes[:, len(toxicity.PATTERNS) + k] = r.random(4000) < np.where(y, 0.7, 0.05)
     copies = np.repeat(votes[:, -1:], 6, axis=1)
-    q, model = toxicity.label_model(np.concatenate((votes, copies), axis=1), np.full(4000, np.nan))
+    q, model = toxicity.label_model(np.concatenate((votes, copies), axis=1))
     assert ((q > 0.5) == y).mean() > 0.93
     assert (model["parent"][-6:] >= 0).all()
 
