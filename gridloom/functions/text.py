@@ -41,14 +41,21 @@ def _escaped(x: str) -> str:
 
 
 def decimal_text(c: Column) -> Column:
-    """A number without exponent and without trailing zeros, of ten decimals at most."""
-    return F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    """A number without exponent and without trailing zeros, of ten decimals at most; as Spark writes it where it has more
+    than 28 digits before the point or is too small for ten after it."""
+    plain = F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), r"\.0+$|(\.\d*[1-9])0+$", "$1")
+    return F.when((plain != "0") | (c == 0), plain).otherwise(c.cast("string"))
 
 
 def clean_string(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]", " "), " +", " "))
 
 
+def fingerprint(c: Column) -> Column:
+    """The cleaned string with its words sorted, repeats left out, so that their order doesn't count."""
+    return F.array_join(F.array_sort(F.array_distinct(F.split(clean_string(c), " "))), " ")
+
+
 def shingles(c: Column, q: int = 3) -> Column:
     """Distinct substrings of q characters; the whole string if it is shorter."""
     n = F.length(c) - (q - 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import kept
@@ -72,6 +72,8 @@ def components_by_rounds(cells: DataFrame, corners: bool = False, prefix: str =
         now = nxt.withColumn("low", F.col("new")).drop("new")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components_by_rounds: not settled after {max_rounds} rounds")
     gids = now.select(*KEY, F.concat(F.lit(prefix), F.dense_rank().over(sheet().orderBy("low")).cast("string")).alias("gid"))
     return cells.drop("gid").join(gids, KEY)
 
@@ -109,6 +111,16 @@ def distances(cells: DataFrame, nearby: float | None = 1.9) -> DataFrame:
     return exact.unionByName(pairs.where(F.col("box_dist") > nearby).select("sheet_id", "gid_1", "gid_2", F.col("box_dist").alias("dist")))
 
 
+def approximate_distances(cells: DataFrame) -> DataFrame:
+    """(sheet_id, gid_1, gid_2, dist) of block pairs: the least distance of a cell of either block from the other's boundary."""
+    boxes = boundaries(cells).withColumnRenamed("gid", "other")
+    own = cells.select("sheet_id", "gid", "row", "col").join(boxes, "sheet_id").where("gid <> other")
+    dr = F.greatest(F.col("r_min") - F.col("row"), F.col("row") - F.col("r_max"), F.lit(0))
+    dc = F.greatest(F.col("c_min") - F.col("col"), F.col("col") - F.col("c_max"), F.lit(0))
+    pair = [F.least("gid", "other").alias("gid_1"), F.greatest("gid", "other").alias("gid_2")]
+    return own.groupBy("sheet_id", *pair).agg(F.sqrt(F.min(dr * dr + dc * dc).cast("double")).alias("dist"))
+
+
 def closure(links: DataFrame) -> DataFrame:
     """(sheet_id, gid, new_gid): blocks that links (sheet_id, gid_1, gid_2) join get the smallest of their names."""
 
@@ -206,7 +218,15 @@ def angular_sides(cells: DataFrame, tolerance: float = 0.8) -> DataFrame:
 
 
 def overview(cells: DataFrame) -> DataFrame:
-    return attributes_inside(cells).join(angular_sides(cells), "sheet_id", "left").withColumn("well_sided", F.coalesce("well_sided", F.lit(True)))
+    """(sheet_id, inside, rect, well_sided, well_shaped): a sheet is well shaped if no attributes lie among its values, or if
+    one of either pair of opposite sides holds nearly all of them; sheets without attributes are not well sided."""
+    out = attributes_inside(cells).join(angular_sides(cells), "sheet_id", "left").withColumn("well_sided", F.coalesce("well_sided", F.lit(False)))
+    return out.withColumn("well_shaped", F.col("rect") | F.col("well_sided"))
+
+
+def filter_blocks(cells: DataFrame, condition: Column | str) -> DataFrame:
+    """The cells of blocks whose meta (content, nrow, ncol, size) meets a condition."""
+    return cells.join(meta(cells).where(condition).select("sheet_id", "gid"), ["sheet_id", "gid"], "left_semi")
 
 
 def detect_table_blocks(cells: DataFrame, corners: bool = False) -> DataFrame:

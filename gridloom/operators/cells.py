@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import decimal_text
+from ..functions.text import decimal_text, name_suffixes
 from ..schema import KEY, sheet
 
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -216,6 +216,40 @@ def container_meta(cells: DataFrame) -> DataFrame:
     )
 
 
+def filter_sheets(cells: DataFrame, condition: Column | str) -> DataFrame:
+    """The cells of sheets whose container meta (content, nrow, ncol, size) meets a condition."""
+    return cells.join(container_meta(cells).where(condition).select("sheet_id"), "sheet_id", "left_semi")
+
+
+def container(tables: dict[str, DataFrame]) -> DataFrame:
+    """Cells of several sheets as one relation, each under its name; blank names and repeats are made unique."""
+    out = None
+    for name, own in zip(name_suffixes(list(tables)), tables.values(), strict=True):
+        own = own.select(F.lit(name).alias("sheet_id"), *[c for c in own.columns if c != "sheet_id"])
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("a container needs a sheet")
+    return out
+
+
+def pull(df: DataFrame, column: str | int = 1) -> DataFrame:
+    """One column, by name or by place; places count from 1, negative ones from the end."""
+    return df.select(df.columns[column - (column > 0)] if isinstance(column, int) else column)
+
+
+def typed_table(cells: DataFrame, columns: list[int]) -> DataFrame:
+    """One sheet as a table: its first row names the columns, and each column is a bigint, a double or a string, whichever
+    all of its texts can be read as. One small job looks at the names and texts."""
+    top = cells.agg(F.min("row")).first()[0]
+    body = cells.where(F.col("row") > top)
+    number = lambda kind: F.bool_and(F.expr(f"try_cast(trim(value) as {kind}) is not null"))
+    kinds = {r["col"]: "bigint" if r["whole"] else "double" if r["real"] else "string" for r in body.groupBy("col").agg(number("bigint").alias("whole"), number("double").alias("real")).collect()}
+    names = {r["col"]: r["value"] for r in cells.where(F.col("row") == top).select("col", "value").collect()}
+    shown = name_suffixes([names.get(c, f"col_{c}") for c in columns])
+    wide = densify(body, columns)
+    return wide.select(*[F.trim(F.col(str(c))).cast(kinds.get(c, "string")).alias(n) for c, n in zip(columns, shown, strict=True)])
+
+
 def content_variation(texts: DataFrame, sheet_col: str = "sheet_id", text_col: str = "content") -> DataFrame:
     """1 - (words in every sheet) / (words in any): one row with n_common, n_words and variation."""
     words = texts.select(sheet_col, F.explode(F.split(F.lower(text_col), r"\s+")).alias("word")).where("word <> ''").distinct()

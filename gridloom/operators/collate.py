@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +79,13 @@ def greedy(pairs: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
     return out
 
 
+def without_doubles(profiles: DataFrame) -> DataFrame:
+    """Profiles without those columns whose strings are the same as an earlier column's, by name."""
+    marks = profiles.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("value")), "\u0001").alias("profile"))
+    first = marks.withColumn("_k", F.row_number().over(Window.partitionBy("profile").orderBy("name"))).where("_k = 1")
+    return profiles.join(F.broadcast(first.select("name")), "name", "left_semi")  # columns are few
+
+
 @dataclass
 class Collated:
     """The bound table, and where its columns come from: (new_name, old_name, frame, existed, iteration)."""
@@ -85,13 +94,19 @@ class Collated:
     column_map: list[tuple[str, str, str, bool, int]] = field(default_factory=list)
 
 
-def collate_two(x: DataFrame, y: DataFrame, threshold: float = 1.0, fixed: tuple[str, ...] = FIXED, common_names: bool = False, rest_cols: float = float("inf"), keep_others: bool = False, extended: bool = False, iteration: int = 1) -> Collated:
-    """Binds two tables: matched columns become collated_k in order of distance, the others uncollated_k."""
+def collate_two(x: DataFrame, y: DataFrame, threshold: float = 1.0, fixed: tuple[str, ...] = FIXED, common_names: bool = False, rest_cols: float = float("inf"), keep_others: bool = False, extended: bool = False, iteration: int = 1, tuner: Callable[[DataFrame], DataFrame] | None = None, drop_doubles: bool = False) -> Collated:
+    """Binds two tables: matched columns become collated_k in order of distance, the others uncollated_k. tuner: changes the
+    (name, value) profiles before they are compared; drop_doubles: columns of a table with one profile count once."""
     stay = [c for c in x.columns if c in y.columns and (c in fixed or common_names)]
     left, right = ([c for c in d.columns if c not in stay] for d in (x, y))
     if not left or not right:
         return Collated(x.unionByName(y, allowMissingColumns=True))
-    measured = normalised(similarity(representatives(x, left), representatives(y, right), extended)).select("name_1", "name_2", "dist").collect()
+    profiles = [representatives(d, names) for d, names in ((x, left), (y, right))]
+    if drop_doubles:
+        profiles = [without_doubles(p) for p in profiles]
+    if tuner:
+        profiles = [tuner(p) for p in profiles]
+    measured = normalised(similarity(*profiles, extended)).select("name_1", "name_2", "dist").collect()
     matched = greedy([(r[0], r[1], round(r[2], 12)) for r in measured])
     near = [p for p in matched if p[2] <= threshold]
     forced = [p for p in matched if p[2] > threshold][: int(min(rest_cols, len(matched)))] if rest_cols != float("inf") else []
@@ -131,6 +146,21 @@ def collate_columns(frames: list[DataFrame], threshold: float = 1.0, fixed: tupl
     return Collated(out.frame.select(*front, *sorted(c for c in out.frame.columns if c not in fixed)), out.column_map)
 
 
+def collate_blocks(composed: DataFrame, by: str = "data_block", threshold: float = 1.0, **options: object) -> Collated:
+    """Collates one composed table: its blocks, each without the columns in which it holds nothing. The names of blocks and
+    of their columns come from one small job."""
+    names = [c for c in composed.columns if c not in FIXED]
+    found = composed.groupBy(by).agg(*[F.count(c).alias(c) for c in names]).orderBy(by).collect()
+    fixed = [c for c in composed.columns if c in FIXED]
+    return collate_columns([composed.where(F.col(by).eqNullSafe(r[by])).select(*fixed, *[c for c in names if r[c]]) for r in found], threshold, **options)
+
+
+def picked(df: DataFrame, *columns: str | Column) -> list[str]:
+    """The names of columns given as names, as Columns or as patterns such as `N_*`, in the table's order."""
+    shown = [c if isinstance(c, str) else df.select(c).columns[0] for c in columns]
+    return [c for c in df.columns if any(fnmatchcase(c, s) for s in shown)]
+
+
 def string_signatures(df: DataFrame, column: str) -> DataFrame:
     """(signature, value): values that clean to one string, and the largest of them."""
     return df.select(clean_string(F.col(column)).alias("signature"), F.col(column).alias("value")).where("value is not null").groupBy("signature").agg(F.max("value").alias("value"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import closure
+from .blocks import closure, corners_of
+from .headers import direction_map, nearest_attributes
 
 EDGE = ["sheet_id", "attr_gid", "data_gid"]
 
@@ -67,27 +68,44 @@ def layer_claims(headers: DataFrame, boxes: DataFrame, axis: str = "row") -> Dat
     return met.where("is_bounded or not any_bounded").select("sheet_id", "layer", "header", "data_gid", F.col("any_bounded").alias("is_bounded"))
 
 
+def relative_sides(seen: DataFrame) -> DataFrame:
+    """(sheet_id, attr_gid, row, col, side) of attribute blocks that data blocks see from above or below and from beside: WE
+    for cells in the columns of those seen from beside (corners among them), else NS for cells in the rows of those seen
+    from above or below, else null. A cell seen both ways counts for the way in which more data blocks see it."""
+    cell = ["sheet_id", "attr_gid", "row", "col"]
+    by = seen.where("direction_group in ('NS', 'WE')").groupBy(*cell, "direction_group").agg(F.count_distinct("data_gid").alias("n"))
+    most = by.withColumn("_m", F.max("n").over(Window.partitionBy(*cell))).where("n = _m")
+    ns, we = F.col("direction_group") == "NS", F.col("direction_group") == "WE"
+    ranges = most.groupBy("sheet_id", "attr_gid").agg(F.min(F.when(ns, F.col("row"))).alias("r0"), F.max(F.when(ns, F.col("row"))).alias("r1"), F.min(F.when(we, F.col("col"))).alias("c0"), F.max(F.when(we, F.col("col"))).alias("c1"))
+    both = ranges.where("r0 is not null and c0 is not null")
+    side = F.when(F.col("col").between(F.col("c0"), F.col("c1")), "WE").when(F.col("row").between(F.col("r0"), F.col("r1")), "NS")
+    return seen.select(*cell).distinct().join(both, ["sheet_id", "attr_gid"]).select(*cell, side.alias("side"))
+
+
 def allocation_variation(allocation: DataFrame) -> DataFrame:
-    """(sheet_id, variation) of an allocation's distances: the sum over directions of the variance over data blocks, a missing
-    distance counting as 0. Smaller means more regular."""
+    """(sheet_id, variation) of an allocation's mean distances: the sum over directions of the variance over data blocks, a
+    missing distance counting as 0; 0 for one block. Smaller means more regular."""
     names = ("N", "S", "W", "E", "NW", "NE", "SW", "SE")
-    wide = allocation.groupBy("sheet_id", "data_gid").pivot("direction", names).agg(F.min("dist")).na.fill(0.0, list(names))
+    wide = allocation.groupBy("sheet_id", "data_gid").pivot("direction", names).agg(F.avg("dist")).na.fill(0.0, list(names))
     return wide.groupBy("sheet_id").agg(sum((F.var_pop(c) for c in names[1:]), F.var_pop(names[0])).alias("variation"))
 
 
 def allocations(seen: DataFrame) -> DataFrame:
-    """The best of five allocations per sheet: all edges, or those without one of S, E, W, N. One that loses no data block
-    goes first, then the one with the least variation, then the one that leaves out least."""
+    """(sheet_id, without, fit, variation): the best of five allocations of attribute cells per sheet, those without one of the
+    sides S, E, W, N (corners on that side included) and the one with all. One that gives each cell to one data block and
+    loses none goes first (fit 0), then one that gives no cell twice (1), then others (2); then the one with the least
+    variation, then the first in the order named."""
+    cell = ["sheet_id", "row", "col"]
+    total = seen.select(*cell).distinct().groupBy("sheet_id").agg(F.count("*").alias("n"))
     out = None
-    seen = seen.persist()  # read once for each allocation
-    blocks = seen.groupBy("sheet_id").agg(F.count_distinct("data_gid").alias("n"))
-    for k, name in enumerate(("all", "S", "E", "W", "N")):
-        own = seen if name == "all" else seen.where(F.col("direction") != name)
-        own = central(own)
-        kept = own.groupBy("sheet_id").agg(F.count_distinct("data_gid").alias("m"))
-        score = allocation_variation(own).join(kept, "sheet_id").join(blocks, "sheet_id").select("sheet_id", F.lit(name).alias("without"), F.lit(k).alias("order"), (F.col("m") < F.col("n")).alias("loses"), F.round("variation", 9).alias("variation"))
+    for k, name in enumerate(("S", "E", "W", "N", "none")):
+        own = central(seen if name == "none" else seen.where(~F.contains("direction", F.lit(name))))
+        uses = own.select(*cell, "attr_gid", "data_gid", "direction").distinct().groupBy(*cell).agg(F.count("*").alias("uses"))
+        fit = uses.groupBy("sheet_id").agg(F.count("*").alias("m"), F.max("uses").alias("most")).join(total, "sheet_id")
+        fit = fit.select("sheet_id", F.when(F.col("most") > 1, 2).when(F.col("m") < F.col("n"), 1).otherwise(0).alias("fit"))
+        score = allocation_variation(own).join(fit, "sheet_id").select("sheet_id", "fit", F.round("variation", 9).alias("variation"), F.lit(k).alias("order"), F.lit(name).alias("without"))
         out = score if out is None else out.unionAll(score)
-    return out.groupBy("sheet_id").agg(F.min(F.struct("loses", "variation", "order", "without")).alias("b")).select("sheet_id", "b.without", "b.loses", "b.variation")
+    return out.groupBy("sheet_id").agg(F.min(F.struct("fit", "variation", "order", "without")).alias("b")).select("sheet_id", "b.without", "b.fit", "b.variation")
 
 
 def central(seen: DataFrame) -> DataFrame:
@@ -105,3 +123,54 @@ def definiteness(edges: DataFrame, attribute_gids: DataFrame) -> dict[str, DataF
     sides = edges.groupBy("sheet_id", "data_gid").agg(F.bool_or(F.col("direction_group") == "NS").alias("ns"), F.bool_or(F.col("direction_group") == "WE").alias("we"))
     unmapped = attribute_gids.select("sheet_id", F.col("gid").alias("attr_gid")).distinct().join(edges, ["sheet_id", "attr_gid"], "left_anti")
     return {"shared": shared, "one_sided": sides.where("not ns or not we"), "unmapped": unmapped}
+
+
+def joined_attributes(edges: DataFrame) -> DataFrame:
+    """Edges in which the attribute blocks that one data block sees on one side, in one group, are one: its name is the least
+    of theirs with the data block and the direction, its distance the least."""
+    side = Window.partitionBy("sheet_id", "data_gid", "direction", "attr_group")
+    out = edges.withColumn("_n", F.size(F.collect_set("attr_gid").over(side))).withColumn("_least", F.min("attr_gid").over(side)).withColumn("_near", F.min("dist").over(side))
+    several = F.col("_n") > 1
+    out = out.withColumn("attr_gid", F.when(several, F.concat_ws("_", "_least", "data_gid", "direction")).otherwise(F.col("attr_gid"))).withColumn("dist", F.when(several, F.col("_near")).otherwise(F.col("dist")))
+    return out.select(edges.columns).distinct()
+
+
+def merged_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges after data blocks were joined (sheet_id, gid, new_gid): one per attribute and data block, at the least distance,
+    with the direction and group of the nearest."""
+    own = edges.join(names.withColumnRenamed("gid", "data_gid"), ["sheet_id", "data_gid"], "left").withColumn("data_gid", F.coalesce("new_gid", "data_gid")).drop("new_gid")
+    rest = [c for c in own.columns if c not in (*EDGE, "dist")]
+    near = F.min(F.struct("dist", *sorted(rest)))
+    return own.groupBy(*EDGE).agg(near.alias("e")).select(*EDGE, "e.dist", *[F.col(f"e.{c}") for c in rest])
+
+
+def redirected(edges: DataFrame, attributes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Edges whose direction and distance are those of the attribute block's cell that is nearest to the data block's box,
+    the most frequent direction of several that are as near, then the first by name."""
+    seen = direction_map(attributes, boxes).join(edges.select(*EDGE).distinct(), EDGE, "left_semi")
+    by = seen.groupBy(*EDGE, "direction", "direction_group", "dist").agg(F.count("*").alias("n"))
+    best = by.groupBy(*EDGE).agg(F.min(F.struct("dist", (-F.col("n")).alias("n"), "direction", "direction_group")).alias("e")).select(*EDGE, "e.direction", "e.direction_group", "e.dist")
+    return edges.drop("direction", "direction_group", "dist").distinct().join(best, EDGE)
+
+
+def nearest_blocks(boxes: DataFrame) -> DataFrame:
+    """(sheet_id, gid_1, gid_2): pairs of data blocks of which one is the nearest to the other on some side."""
+    corners = corners_of(boxes)
+    seen = direction_map(corners, boxes).where("attr_gid <> data_gid")
+    near = nearest_attributes(seen)
+    return near.select("sheet_id", F.least("attr_gid", "data_gid").alias("gid_1"), F.greatest("attr_gid", "data_gid").alias("gid_2")).distinct()
+
+
+def unique_names(lines: DataFrame) -> DataFrame:
+    """Header names of (sheet_id, data_gid, attr_gid, attr_name) rows without conflicts: a header with several names gets the
+    largest of them with G_ before it, and headers that share a name in a data block get _1, _2 after it, in their order."""
+    every = Window.partitionBy("sheet_id", "attr_gid")
+    out = lines.withColumn("attr_name", F.when(F.min("attr_name").over(every) < F.max("attr_name").over(every), F.concat(F.lit("G_"), F.max("attr_name").over(every))).otherwise(F.col("attr_name"))).distinct()
+    block = Window.partitionBy("sheet_id", "data_gid", "attr_name")
+    place = F.row_number().over(block.orderBy("attr_gid"))
+    return out.withColumn("_n", F.count("*").over(block)).withColumn("_k", place).withColumn("attr_name", F.when(F.col("_n") > 1, F.concat_ws("_", "attr_name", F.col("_k").cast("string"))).otherwise(F.col("attr_name"))).drop("_n", "_k")
+
+
+def united(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Edges of either map, once each."""
+    return x.unionByName(y).distinct()

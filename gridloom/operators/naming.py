@@ -35,6 +35,16 @@ def suggestions(lines: DataFrame, line_cells: DataFrame, texts: DataFrame) -> Da
     return named.join(lines.select("sheet_id", "data_gid", "line", "data_block", "attr_name"), ["sheet_id", "data_gid", "line"]).groupBy("sheet_id", "data_block", "attr_name").agg(F.max_by("suggestion", F.struct("score", "suggestion")).alias("suggestion"), F.max("score").alias("score"))
 
 
+def suggestions_after(column_map: list[tuple[str, str, str, bool, int]], found: DataFrame) -> dict[str, str]:
+    """Names for collated columns: of the suggestions for the columns that became one, the best by score, then by name."""
+    first = {r["attr_name"]: (r["score"], r["suggestion"]) for r in found.groupBy("attr_name").agg(F.max(F.struct("score", "suggestion")).alias("b")).select("attr_name", "b.score", "b.suggestion").collect()}
+    came: dict[str, set[str]] = {}
+    for new, old, _, _, _ in column_map:  # in the order of the steps, so an earlier step's names are known
+        came.setdefault(new, set()).update(came.get(old, {old}) if old.startswith(("collated_", "uncollated_")) else {old})
+    best = {new: max(first[o] for o in olds if o in first)[1] for new, olds in came.items() if any(o in first for o in olds)}
+    return {new: name for k, (new, name) in enumerate(sorted(best.items())) if name not in [n for _, n in sorted(best.items())[:k]]}
+
+
 def rename_columns(wide: DataFrame, found: DataFrame, sheet_id: str, data_block: str) -> DataFrame:
     """One block's wide table with suggested names; a name that is taken is left alone."""
     names = {r["attr_name"]: r["suggestion"] for r in found.where((F.col("sheet_id") == sheet_id) & (F.col("data_block") == data_block)).collect()}

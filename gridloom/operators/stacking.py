@@ -40,6 +40,21 @@ def oriented(cells: DataFrame, side: str) -> DataFrame:
     return own.where("row <> head").select("sheet_id", "gid", F.col("row").alias("record"), "col", "value").join(labels, ["sheet_id", "gid", "col"]).select("sheet_id", "gid", "record", "label", "value")
 
 
+def stack_all(cells: DataFrame) -> dict[str, list[tuple[str, str]]]:
+    """By first block, the (gid, side) of blocks that a fold joins: blocks in order of name, each to the first stack whose
+    first block it shares a header with. Blocks are few, so the fold runs on their pairs alone."""
+    pairs = {(r["gid_1"], r["gid_2"]): (r["side_1"], r["side_2"]) for r in mergeable(side_headers(cells)).collect()}
+    out: dict[str, list[tuple[str, str]]] = {}
+    for (gid,) in cells.select("gid").distinct().orderBy("gid").collect():
+        home = next((h for h in out if (h, gid) in pairs and out[h][0][1] in ("", pairs[h, gid][0])), None)
+        if home is None:
+            out[gid] = [(gid, "")]
+        else:
+            out[home][0] = (home, pairs[home, gid][0])
+            out[home].append((gid, pairs[home, gid][1]))
+    return out
+
+
 def stack(cells: DataFrame, sides: list[tuple[str, str]], labels: list[str]) -> DataFrame:
     """Blocks (gid, side of the header) bound by label: one row per record, one column per label."""
     out = None

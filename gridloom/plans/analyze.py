@@ -11,7 +11,7 @@ import math
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import NamedTuple
 
 import numpy as np
@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.store import kept
 from ..operators.blocks import label
 from ..operators.headers import TAGS
 from ..schema import KEY, validate_cells
@@ -205,8 +206,9 @@ class Sheet:
         return changed
 
     def reallocate(self) -> None:
-        """Where a header serves several data blocks from opposite sides, tries to do without one side: an allocation that
-        loses no block goes first, then the one with the smallest spread of distances, then the one that drops least."""
+        """Where a header serves several data blocks from opposite sides, tries to do without one side: an allocation that gives
+        each header cell to one block and loses none goes first, then one that gives none twice, then others; of equals
+        the one with the smallest spread of distances, then the first of S, E, W, N and all sides."""
         by_attr: dict[str, set[str]] = defaultdict(set)
         for a, _, direction in self.edges:
             by_attr[a].add(direction)
@@ -214,16 +216,26 @@ class Sheet:
         if not torn or len(self.data) < 2:
             return
 
-        def worth(without: str, order: int) -> tuple[bool, float, int]:
-            kept = [k for k in self.edges if k[0] not in torn or k[2] != without]
+        cells = {p for a in torn for p in self.attr[a]}
+
+        def worth(without: str, order: int) -> tuple[int, float, int]:
+            kept = [k for k in self.edges if k[0] not in torn or not without or without not in k[2]]
+            uses: dict[Place, int] = defaultdict(int)
+            for k in kept:
+                if k[0] in torn:
+                    for p, _ in self.seen[k]:
+                        uses[p] += 1
+            fit = 2 if any(n > 1 for n in uses.values()) else 1 if len(uses) < len(cells) else 0
             spread = 0.0
             for direction in {k[2] for k in kept}:
                 far = [min((x[1] for k in kept if k[1] == d and k[2] == direction for x in self.seen[k]), default=0.0) for d in self.data]
                 spread += float(np.var(far))
-            return len({k[1] for k in kept}) < len({k[1] for k in self.edges}), round(spread, 9), order
+            return fit, round(spread, 9), order
 
-        best = min(("", "S", "E", "W", "N"), key=lambda s: worth(s, ("", "S", "E", "W", "N").index(s)))
-        self.edges = {k for k in self.edges if k[0] not in torn or k[2] != best}
+        sides = ("S", "E", "W", "N", "")
+        best = min(sides, key=lambda s: worth(s, sides.index(s)))
+        if worth(best, 0)[0] < 2:  # where every one gives some cell twice, all of them stay
+            self.edges = {k for k in self.edges if k[0] not in torn or not best or best not in k[2]}
 
     def adopt(self) -> None:
         """Attribute blocks that no data block took go to the nearest one, as minor headers."""
@@ -288,17 +300,6 @@ class Sheet:
             out += [("line", *p, d, block[d], x.line, x.direction, x.dist, x.role, x.name, f"{x.tag}|{a}") for x in self.lines(d) for p, a in x.cells]
         return out
 
-    def pairs(self, major_only: bool = False) -> list[tuple]:
-        """(block, row, col, name, header row, header col) of every data cell and header line that reaches it."""
-        block = self.blocks()
-        out: list[tuple] = []
-        for d, cells in self.data.items():
-            for x in self.lines(d):
-                if x.role == "major" or not major_only:
-                    place = header_of(x.tag, [p for p, _ in x.cells])
-                    out += [(block[d], *p, x.name, *h) for p in cells if (h := place(p)) is not None]
-        return out
-
 
 def best_tag(data: list[Place], header: list[Place], direction: str) -> str:
     """One cell goes to all; else the tag that gives most representative cells a header, v and h first if they give all."""
@@ -365,7 +366,7 @@ def analyze_cells(cells: DataFrame, options: AnalyzeOptions | None = None) -> Ce
         return out.astype({"row": "int32", "col": "int32", "dist": "float64"})
 
     found = cells.select(*KEY, "type").distinct().groupBy("sheet_id").applyInPandas(run, _FOUND)
-    found = found.persist()  # several relations read it; it is small, and computed again if an executor is lost
+    found = kept(found)  # several relations read it
     data = found.where("kind = 'data'").select(*KEY, "gid", "data_block")
     attributes = found.where("kind = 'attribute'").select(*KEY, "gid")
     group = F.when(F.col("direction").isin("N", "S"), "NS").when(F.col("direction").isin("W", "E"), "WE").otherwise("corner")
@@ -380,3 +381,16 @@ def analyze_cells(cells: DataFrame, options: AnalyzeOptions | None = None) -> Ce
 
 
 analyse_cells = analyze_cells
+
+
+def with_tags(ca: CellAnalysis, changes: DataFrame) -> CellAnalysis:
+    """The analysis with other orientations: (sheet_id, data_block, attr_name, tag) rows say which lines get which tag."""
+    new = changes.select("sheet_id", "data_block", "attr_name", F.col("tag").alias("_tag"))
+    turned = lambda df: df.join(new, ["sheet_id", "data_block", "attr_name"], "left").withColumn("tag", F.coalesce("_tag", "tag")).select(df.columns)
+    return replace(ca, lines=turned(ca.lines), line_cells=turned(ca.line_cells))
+
+
+def roles(ca: CellAnalysis) -> DataFrame:
+    """(sheet_id, row, col, role) of data, major and minor attribute cells; one that is both is major."""
+    heads = ca.line_cells.groupBy(*KEY).agg(F.when(F.max((F.col("attr_group") == "major").cast("int")) == 1, "major_attr").otherwise("minor_attr").alias("role"))
+    return ca.data.select(*KEY, F.lit("data").alias("role")).distinct().unionByName(heads)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.store import kept
 from ..schema import LONG
-from .analyze import CellAnalysis, Sheet, places
+from .analyze import CellAnalysis, Place, header_of
 
 ROW = ["sheet_id", "data_block", "row", "col", "value"]
 
@@ -16,21 +18,44 @@ ROW = ["sheet_id", "data_block", "row", "col", "value"]
 def compose_long(ca: CellAnalysis, major_only: bool = False) -> DataFrame:
     """One row per value and header line: (sheet_id, data_block, row, col, value, attr_name, attr_value, attr_row, attr_col).
 
-    Cells are dealt by sheet once and each sheet's rows come out whole, so nothing is joined. For sheets beyond a task's
-    memory, headers.attach() gives the same rows for one line and tag."""
+    The analysis as it stands decides: its data cells, header lines, their names and tags, edited or not. All of it is dealt
+    by sheet once, and each sheet's rows come out whole. For sheets beyond a task's memory, headers.attach() gives the same
+    rows for one line and tag."""
+    none = F.lit(None).cast("string")
+
+    def part(df: DataFrame, kind: str, *texts: str) -> DataFrame:
+        at = [F.col(c) if c in df.columns else F.lit(0).alias(c) for c in ("row", "col")]
+        return df.select("sheet_id", F.lit(kind).alias("kind"), *at, *[(F.col(texts[k]) if k < len(texts) else none).alias(f"t{k}") for k in range(5)])
 
-    options = ca.options
+    rows = part(ca.cells, "cell", "value").unionAll(part(ca.data, "data", "gid", "data_block")).unionAll(part(ca.line_cells, "at", "data_gid", "line"))
+    rows = rows.unionAll(part(ca.lines.drop("row", "col"), "line", "data_gid", "line", "attr_name", "attr_group", "tag"))
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        at = places(own)
-        found = Sheet(at["value"], at["attribute"], options).pairs(major_only) if {"value", "attribute"} <= set(at) else []
-        text = dict(zip(zip(own["row"], own["col"], strict=True), own["value"], strict=True))
-        rows = [(block, r, c, text[r, c], name, text[hr, hc], hr, hc) for block, r, c, name, hr, hc in found]
-        out = pd.DataFrame(rows, columns=["data_block", "row", "col", "value", "attr_name", "attr_value", "attr_row", "attr_col"])
+        text: dict[Place, str] = {}
+        data: dict[str, list[Place]] = defaultdict(list)
+        block: dict[str, str] = {}
+        heads: dict[tuple[str, str], list[Place]] = defaultdict(list)
+        lines: list[tuple[str, str, str, str, str]] = []
+        for kind, r, c, *t in own[["kind", "row", "col", "t0", "t1", "t2", "t3", "t4"]].itertuples(index=False, name=None):
+            if kind == "cell":
+                text[r, c] = t[0]
+            elif kind == "data":
+                data[t[0]].append((r, c))
+                block[t[0]] = t[1]
+            elif kind == "at":
+                heads[t[0], t[1]].append((r, c))
+            else:
+                lines.append(tuple(t))
+        found = []
+        for d, line, name, role, tag in lines:
+            if role == "major" or not major_only:
+                place = header_of(tag, sorted(heads[d, line]))
+                found += [(block[d], *p, text[p], name, text[h], *h) for p in data[d] if (h := place(p)) is not None]
+        out = pd.DataFrame(found, columns=["data_block", "row", "col", "value", "attr_name", "attr_value", "attr_row", "attr_col"])
         out.insert(0, "sheet_id", own["sheet_id"].iloc[0])
         return out.astype({c: "int32" for c in ("row", "col", "attr_row", "attr_col")})
 
-    return ca.cells.select("sheet_id", "row", "col", "type", "value").groupBy("sheet_id").applyInPandas(run, LONG)
+    return rows.groupBy("sheet_id").applyInPandas(run, LONG)
 
 
 def compose_wide(long: DataFrame, names: list[str] | None = None, traceback: bool = False) -> DataFrame:

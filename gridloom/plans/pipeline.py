@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass, field, replace
 
@@ -53,7 +54,7 @@ def _step(spark: SparkSession, state: PipelineState, stage: str, omit: tuple[str
     return replace(state, collated=collate_columns(list(compose_blocks(state.analysis).values())))
 
 
-def read_cells(spark: SparkSession, source: str | DataFrame | PipelineState, at_level: str = "make_cells", from_level: str | None = None, omit: tuple[str, ...] = (), simplify: bool = True, classifier: Classifier | None = None, options: AnalyzeOptions | None = None, max_depth: int = 8) -> object:
+def read_cells(spark: SparkSession, source: str | DataFrame | PipelineState, at_level: str = "make_cells", from_level: str | None = None, omit: tuple[str, ...] = (), simplify: bool = True, classifier: Classifier | None = None, options: AnalyzeOptions | None = None, max_depth: float = math.inf) -> object:
     """Runs the stages up to `at_level` on a path, a table, or a state to go on from. A stage that fails is named in a warning
     and the result of the last one that worked is returned. simplify: the bare result instead of the state."""
     if at_level not in STAGES:

@@ -23,24 +23,28 @@ def fields(line: Column, name: str, pattern: str) -> Column:
 def dialects(lines: DataFrame) -> DataFrame:
     """(sheet_id, dialect) of (sheet_id, line_no, line) rows, from the first PREVIEW lines of each file.
 
-    Each dialect is scored by its lines, its columns, how even its lines are, and how narrow and uniform its fields are; each
-    score is scaled to 0..1 over the dialects of a file, and the highest mean wins, the first of equals."""
+    Each dialect is scored by its lines, its columns, how even its lines are, how few different characters the columns hold
+    below the first line, and how narrow its fields are; each score is scaled to 0..1 over the dialects of a file, and the
+    highest mean of those that there are wins, the first of equals."""
     head = lines.where(F.col("line_no") <= PREVIEW).where(F.length(trimmed(F.col("line"))) > 0)
     tried = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("dialect"), fields(F.col("line"), n, p).alias("f")) for k, (n, p) in enumerate(DIALECTS)])
     each = head.select("sheet_id", "line_no", F.explode(tried).alias("t")).select("sheet_id", "line_no", "t.*")
-    shape = each.groupBy("sheet_id", "k", "dialect").agg(F.count("*").alias("rows"), F.max(F.size("f")).alias("cols"), F.coalesce(F.stddev_pop(F.size("f")), F.lit(0.0)).alias("uneven"))
-    cells = each.select("sheet_id", "k", F.posexplode("f").alias("c", "v"))
-    by_col = cells.groupBy("sheet_id", "k", "c").agg(F.count_distinct(F.length("v")).alias("kinds"), F.max(F.length("v")).alias("wide"))
-    wide = by_col.groupBy("sheet_id", "k").agg(F.max("kinds").alias("kinds"), F.max("wide").alias("wide"))
-    all_ = shape.join(wide, ["sheet_id", "k"])
+    shape = each.groupBy("sheet_id", "k", "dialect").agg(F.count("*").alias("rows"), F.max(F.size("f")).alias("cols"), F.stddev_samp(F.size("f")).alias("uneven"))
+    first = F.min("line_no").over(Window.partitionBy("sheet_id"))
+    cells = each.withColumn("first", first).select("sheet_id", "k", (F.col("line_no") > F.col("first")).alias("below"), F.posexplode("f").alias("c", "v"))
+    wide = cells.groupBy("sheet_id", "k").agg(F.max(F.length("v")).alias("wide"))
+    signs = cells.where("below").select("sheet_id", "k", "c", F.explode(F.split("v", "")).alias("s")).where("s <> ''")
+    kinds = signs.groupBy("sheet_id", "k", "c").agg(F.count_distinct("s").alias("kinds")).groupBy("sheet_id", "k").agg(F.max("kinds").alias("kinds"))
+    all_ = shape.join(wide, ["sheet_id", "k"]).join(kinds, ["sheet_id", "k"], "left")
     w = Window.partitionBy("sheet_id")
 
     def scaled(c: Column) -> Column:
         lo, hi = F.min(c).over(w), F.max(c).over(w)
-        return F.when(hi > lo, (c - lo) / (hi - lo)).otherwise(0.0)
+        return F.when(hi > lo, (c - lo) / (hi - lo)).when(c.isNotNull(), 0.0)
 
     parts = [F.col("rows").cast("double"), F.col("cols").cast("double"), -F.col("uneven"), -F.col("kinds").cast("double"), -F.col("wide").cast("double")]
-    score = sum((scaled(p) for p in parts[1:]), scaled(parts[0])) / len(parts)
+    known = F.array_compact(F.array(*map(scaled, parts)))
+    score = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
     return all_.withColumn("score", score).groupBy("sheet_id").agg(F.max_by("dialect", F.struct("score", -F.col("k"))).alias("dialect"))
 
 

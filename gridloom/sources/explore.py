@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import kept
 from .archive import DECOMPRESSORS
 from .delimited import text_cells, text_lines
 from .magic import extension, file_type
 from .registry import readers
 
 FINDINGS = "root string, path string, name string, depth int, file_type string, size bigint, is_empty boolean, is_readable boolean, is_explored boolean, content binary"
-#: Bytes above which a file is named as large.
+#: Bytes above which a file counts as large; such files are read, but one task holds all of one.
 LARGE = 1 << 30
 
 
@@ -38,18 +40,20 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"parent": path, "path": [f"{path}/{n}" for n, _ in found], "content": [b for _, b in found]})
 
 
-def explore(spark: SparkSession, path: str, max_depth: int = 8) -> DataFrame:
+def explore(spark: SparkSession, path: str, max_depth: float = math.inf) -> DataFrame:
     """One row per file below a path, members of archives included, each archive one level deeper; at max_depth archives stay
-    closed (is_explored false). The bytes travel with the findings, so nothing is unpacked to a disk."""
+    closed (is_explored false). The bytes travel with the findings, so nothing is unpacked to a disk; each level of archives is
+    kept as it is opened, so that no level is opened twice."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     level = _found(files, F.lit("<root>"), 0)
-    out = level
-    for depth in range(1, max_depth + 1):
+    out, depth = level, 0
+    while depth < max_depth:
+        depth += 1
         packed = level.where(F.col("file_type").isin(*DECOMPRESSORS)).select("path", "file_type", "content")
         if packed.isEmpty():
             break
         inner = packed.mapInPandas(_members, "parent string, path string, content binary")
-        level = _found(inner, F.col("parent"), depth)
+        level = kept(_found(inner, F.col("parent"), depth))
         out = out.unionByName(level)
     opened = out.select(F.col("root").alias("path")).distinct().withColumn("opened", F.lit(True))
     return out.join(opened, "path", "left").withColumn("is_explored", F.col("is_explored") | F.coalesce("opened", F.lit(False))).drop("opened")
@@ -65,6 +69,18 @@ def well_names(findings: DataFrame) -> DataFrame:
     return findings.withColumn("well_name", F.array_join(F.slice(F.split("path", "/"), n + 1, 1000), "/"))
 
 
+def finding_edges(findings: DataFrame) -> DataFrame:
+    """(root, path, name, parent_name): each finding under the one that holds it; parent_name is null for what lies in folders."""
+    held = findings.select(F.col("path").alias("root"), F.col("name").alias("parent_name")).distinct()
+    return findings.select("root", "path", "name").join(held, "root", "left").distinct()
+
+
+def check_files(findings: DataFrame) -> DataFrame:
+    """(path, problem) of the findings that can't be read as they are: empty, unknown, without a reader, or large."""
+    problem = F.when(F.col("is_empty"), "empty").when(F.col("file_type") == "unknown", "unknown").when(~F.col("is_readable") & ~F.col("file_type").isin(*DECOMPRESSORS), "no reader").when(F.col("size") > LARGE, "large")
+    return findings.select("path", problem.alias("problem")).where("problem is not null")
+
+
 def finding_stats(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.array_sort(F.collect_set("file_type")).alias("types"), F.count_if(F.col("is_readable")).alias("readable"))
 

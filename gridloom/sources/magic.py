@@ -27,7 +27,7 @@ SIGNATURES = (
 )
 
 #: Bytes at 513 of an OLE file by application.
-OLE = (("doc", "ECA5C100"), ("xls", "0908100000060500"), ("xls", "FDFFFFFF"), ("ppt", "A0461DF0"), ("ppt", "006E1EF0"), ("ppt", "0F00E803"))
+OLE = (("doc", "ECA5C100"), ("xls", "0908100000060500"), *[("xls", f"FDFFFFFF{x}") for x in ("10", "1F", "22", "23", "28", "29")], ("ppt", "FDFFFFFF"), ("ppt", "A0461DF0"), ("ppt", "006E1EF0"), ("ppt", "0F00E803"))
 
 #: Folders of an OOXML package by application.
 PACKAGES = (("docx", "word/"), ("pptx", "ppt/"), ("xlsx", "xl/"))
