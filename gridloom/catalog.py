@@ -442,18 +442,6 @@ def sync_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.sync_names(c.select(F.col("c_mktsegment").alias("sheet_id"), F.concat(F.lit("d"), F.col("c_nationkey").cast("string")).alias("data_gid"), F.when(F.col("c_custkey") % 2 == 0, "N").otherwise("W").alias("direction"), (F.col("c_custkey") % 7).alias("dist")).distinct())
 
 
-@query()
-def allocation_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.allocations(_seen(spark, sf_dir))
-
-
-@query()
-def data_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation sheets with an empty column between the third and fourth: both halves join under their common headers."""
-    split = nation_sheets(spark, sf_dir).withColumn("col", F.when(F.col("col") > 3, F.col("col") + 1).otherwise(F.col("col")))
-    return analyze_cells(classify.numeric_values(split)).sections
-
-
 # Composition ---------------------------------------------------------------------------------------------------------
 
 PLACED = f"""c AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY sheet ORDER BY priority) + 1 AS INTEGER) AS r, CAST(dense_rank() OVER (PARTITION BY sheet ORDER BY c_mktsegment) + 1 AS INTEGER) AS k FROM ({NATION_COUNTS}))"""
@@ -499,11 +487,6 @@ def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name_1", "name_2", *[F.round(c, 6).alias(c) for c in ("levenshtein", "overlap", "charset")])
 
 
-@query()
-def similarity_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collate.normalised(collate.similarity(*_profiles(spark, sf_dir), extended=True))
-
-
 @query("SELECT CAST(n_regionkey AS VARCHAR) AS collated_1, n_name AS collated_2 FROM nation UNION ALL SELECT CAST(n_regionkey AS VARCHAR), n_name FROM nation")
 def collate_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import kept
 from .blocks import closure, corners_of
 from .headers import direction_map, nearest_attributes
 
@@ -95,7 +96,7 @@ def allocations(seen: DataFrame) -> DataFrame:
     sides S, E, W, N (corners on that side included) and the one with all. One that gives each cell to one data block and
     loses none goes first (fit 0), then one that gives no cell twice (1), then others (2); then the one with the least
     variation, then the first in the order named."""
-    cell = ["sheet_id", "row", "col"]
+    cell, seen = ["sheet_id", "row", "col"], kept(seen)  # read once for each allocation
     total = seen.select(*cell).distinct().groupBy("sheet_id").agg(F.count("*").alias("n"))
     out = None
     for k, name in enumerate(("S", "E", "W", "N", "none")):

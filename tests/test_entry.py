@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
 SOME = ["cells_melt", "va_numeric", "blocks_components4", "hdr_vl", "hdr_vm", "footprint_dedupe", "html_tables", "magic_types", "read_cells_csv_golden", "roundtrip_crosstab"]
+SOME += ["typed_table", "human_sizes", "filter_blocks_by_content", "va_sample_partial", "blocks_by_rounds", "sheet_overview", "hdr_bind", "coalescing_full_join", "split_by_side", "attribute_join", "redirected_edges", "name_conflicts"]
+SOME += ["orientation_override", "cell_roles", "collate_by_block", "collate_with_tuner", "similarity_extended", "name_suggestions", "stack_folded", "magic_families", "office_tables", "read_folder", "dialect_detect_hard"]
 
 
 def test_every_oracle_has_a_query():
