@@ -7,14 +7,14 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .catalog_tables import _values
 from .functions.store import shared_path
 from .sources import explore, registry
-from .sources.delimited import dialects
+from .sources.delimited import csv_cells, dialects
 from .sources.magic import extension, file_type
 
 OLE_HEAD = "D0CF11E0A1B11AE1" + "00" * 504
@@ -175,7 +175,15 @@ def dialect_detect_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialects(out)
 
 
-def cells_order():
-    from pyspark.sql import Window
+def cells_order() -> WindowSpec:
+    return Window.partitionBy(F.lit(1)).orderBy("s_suppkey")
 
-    return Window.orderBy("s_suppkey")
+
+@query("""WITH s AS (SELECT *, CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS r FROM supplier)
+SELECT r AS "row", 1 AS col, s_name || ';' || s_suppkey AS value FROM s UNION ALL SELECT r, 2, 'a, "b" ' || s_nationkey FROM s UNION ALL SELECT r, 4, CAST(s_nationkey AS VARCHAR) FROM s""")
+def csv_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines read as comma-separated whatever else they hold: quoted commas, doubled quotes, an empty field."""
+    s = table(spark, sf_dir, "supplier").withColumn("line_no", F.row_number().over(cells_order()))
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    line = F.concat_ws(",", F.concat_ws(";", "s_name", key), F.concat(F.lit('"a, ""b"" '), nation, F.lit('"')), F.lit(""), nation)
+    return csv_cells(s.select(F.lit("s").alias("sheet_id"), "line_no", line.alias("line"))).select("row", "col", "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import ALL_CELLS, BOXES, CLEAN, FOUR, GRID, MELT_NATION, NATION_COUNTS, PLACED, PLAIN, SEEN, _melted, _nation, _profiles, _seen, component_sql, flag_sheet, grid, nation_sheets, query, table
+from .catalog import ALL_CELLS, BOXES, CLEAN, DIRECTION, GRID, MELT_NATION, NATION_COUNTS, PLACED, PLAIN, SEEN, SQUARE, _nation, _profiles, _seen, component_sql, flag_sheet, grid, nation_sheets, query, table
 from .functions.text import column_letters, fingerprint, human_size, name_suffixes, serial_date, serial_timestamp
 from .operators import blocks, cells, classify, collate, headers, mapping, naming, stacking
 from .plans.analyze import analyze_cells, roles, with_tags
@@ -229,15 +229,18 @@ OVERVIEW = """shaped AS (SELECT *, CASE WHEN "row" = 1 OR col = 1 OR (hash_at %
 value_box AS (SELECT sheet_id, min("row") FILTER (t = 'value') AS r0, max("row") FILTER (t = 'value') AS r1, min(col) FILTER (t = 'value') AS c0, max(col) FILTER (t = 'value') AS c1 FROM shaped GROUP BY ALL)"""
 
 
-@query(f"""WITH {GRID}, {OVERVIEW}, i AS (SELECT sheet_id, count(*) FILTER (t = 'attribute' AND "row" BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1) AS inside, count(*) FILTER (t = 'attribute') AS n FROM shaped JOIN value_box USING (sheet_id) GROUP BY ALL),
+@query(f"""WITH {GRID}, {OVERVIEW}, z AS (SELECT *, "row" BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1 AS w FROM shaped JOIN value_box USING (sheet_id)),
+i AS (SELECT sheet_id, count(*) FILTER (t = 'attribute' AND w) AS inside, count(*) FILTER (w) AS cells, count(*) FILTER (NOT w) AS outside FROM z GROUP BY ALL),
 b AS (SELECT sheet_id, min("row") AS a0, max("row") AS a1, min(col) AS b0, max(col) AS b1 FROM shaped GROUP BY ALL),
-l AS (SELECT sheet_id, ("row" - a0) * (b1 - b0) - (a1 - a0) * (col - b0) AS x, ("row" - a0) * (b0 - b1) - (a1 - a0) * (col - b1) AS y FROM shaped JOIN b USING (sheet_id) WHERE t = 'attribute'),
-s AS (SELECT sheet_id, CASE WHEN x > 0 AND y > 0 THEN 'W' WHEN x > 0 AND y < 0 THEN 'S' WHEN x < 0 AND y > 0 THEN 'N' WHEN x < 0 AND y < 0 THEN 'E' END AS side FROM l),
-c AS (SELECT sheet_id, side, CASE WHEN side IN ('N', 'S') THEN 'NS' ELSE 'WE' END AS pair, count(*) AS k FROM s WHERE side IS NOT NULL GROUP BY ALL),
-f AS (SELECT *, k / sum(k) OVER (PARTITION BY sheet_id, pair) AS share FROM c),
-p AS (SELECT sheet_id, pair, CASE WHEN count(*) = 1 THEN 1 ELSE max(share) - min(share) END AS spread FROM f GROUP BY ALL),
-w AS (SELECT sheet_id, bool_and(spread > 0.8) AS well_sided FROM p GROUP BY ALL)
-SELECT sheet_id, inside, inside / greatest(n, 1) < 0.01 AS rect, coalesce(well_sided, false) AS well_sided, inside / greatest(n, 1) < 0.01 OR coalesce(well_sided, false) AS well_shaped FROM i LEFT JOIN w USING (sheet_id)""")
+l AS (SELECT sheet_id, "row", col, t, ("row" - a0) * (b1 - b0) - (a1 - a0) * (col - b0) AS x, ("row" - a0) * (b0 - b1) - (a1 - a0) * (col - b1) AS y FROM shaped JOIN b USING (sheet_id)),
+s AS (SELECT *, CASE WHEN x > 0 AND y > 0 THEN 'W' WHEN x > 0 THEN 'S' WHEN y > 0 THEN 'N' ELSE 'E' END AS side FROM l WHERE x <> 0 AND y <> 0),
+p AS (SELECT *, CASE WHEN side IN ('N', 'S') THEN 'NS' ELSE 'WE' END AS pair, CASE WHEN side IN ('N', 'S') THEN col ELSE "row" END AS place FROM s),
+a AS (SELECT sheet_id, pair, side, count(*) AS n, CASE WHEN count(*) = 1 THEN 1 ELSE max(place) - min(place) END AS reach FROM p WHERE t = 'attribute' GROUP BY ALL),
+v AS (SELECT sheet_id, side, CASE WHEN count(*) = 1 THEN 1 ELSE max(place) - min(place) END AS data FROM p WHERE t = 'value' GROUP BY ALL),
+f AS (SELECT a.*, n / sum(n) OVER (PARTITION BY a.sheet_id, pair) AS share, reach / nullif(coalesce(data, reach), 0) AS part FROM a LEFT JOIN v USING (sheet_id, side)),
+g AS (SELECT sheet_id, pair, CASE WHEN count(*) = 1 THEN 1 ELSE max(share) - min(share) END AS spread, arg_max(part, (share, side)) AS part FROM f GROUP BY ALL),
+w AS (SELECT sheet_id, bool_and(spread > 0.8) AS well_sided, bool_and(coalesce(part > 0.7, true)) AS dimension_ok, count(*) AS sides FROM g GROUP BY ALL)
+SELECT sheet_id, inside, inside / cells < 0.01 AND outside > 0 AS rect, well_sided, dimension_ok, inside / cells < 0.01 AND outside > 0 OR well_sided AND dimension_ok AND sides = 2 AS well_shaped FROM i JOIN w USING (sheet_id)""")
 def sheet_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir)
     shown = g.withColumn("type", F.expr("case when `row` = 1 or col = 1 or (`row` * 31 + col * 17) % 1000 % 400 = 0 then 'attribute' else type end"))
@@ -352,6 +355,37 @@ def nearest_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.nearest_blocks(blocks.boundaries(blocks.components(grid(spark, sf_dir))))
 
 
+@query(f"""WITH RECURSIVE {SEEN}, w AS (SELECT *, CASE WHEN max(r_max) OVER (PARTITION BY sheet_id ORDER BY r_min, r_max, data_gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= r_min THEN 0 ELSE 1 END AS n FROM box),
+m AS (SELECT *, CAST(sum(n) OVER (PARTITION BY sheet_id ORDER BY r_min, r_max, data_gid ROWS UNBOUNDED PRECEDING) AS INTEGER) AS enc FROM w),
+eg AS (SELECT sheet_id, enc, min(r_min) AS r_min, max(r_max) AS r_max, min(c_min) AS c0, max(c_max) AS c1 FROM m GROUP BY sheet_id, enc), eb AS (SELECT *, min(c0) OVER (PARTITION BY sheet_id) AS c_min, max(c1) OVER (PARTITION BY sheet_id) AS c_max FROM eg),
+s AS (SELECT a.sheet_id, a.gid AS attr_gid, enc, "row", col, {DIRECTION} AS direction, {SQUARE} AS sq FROM a JOIN eb USING (sheet_id)), o AS (SELECT * FROM s WHERE direction <> ''),
+f AS (SELECT * FROM o QUALIFY sq = min(sq) OVER (PARTITION BY sheet_id, enc, direction)),
+l AS (SELECT * FROM (SELECT o.* FROM o ANTI JOIN f ON o.sheet_id = f.sheet_id AND o."row" = f."row" AND o.col = f.col) QUALIFY sq = min(sq) OVER (PARTITION BY sheet_id, "row", col)),
+c AS (SELECT * FROM f UNION ALL SELECT * FROM l),
+j AS (SELECT c.sheet_id, attr_gid, data_gid, "row", col, direction, m.r_min, m.r_max, m.c_min, m.c_max FROM c JOIN m ON m.sheet_id = c.sheet_id AND m.enc = c.enc)
+SELECT sheet_id, attr_gid, data_gid, "row", col, direction, {SQUARE} AS sq FROM j""")
+def split_by_enclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute cells dealt to bands of data blocks, then to the blocks of each band."""
+    g = grid(spark, sf_dir)
+    data, attributes = blocks.components(g.where("type = 'value'"), prefix="d"), blocks.components(g.where("type = 'attribute'"), prefix="a")
+    out = mapping.enclosed_allocation(attributes, blocks.boundaries(data))
+    return out.select("sheet_id", "attr_gid", "data_gid", "row", "col", "direction", F.round(F.col("dist") * F.col("dist")).cast("int").alias("sq"))
+
+
+@query(f"""WITH RECURSIVE {GRID}, {component_sql("g", ALL_CELLS, "g")}, box AS (SELECT sheet_id, gid AS data_gid, {BOXES} FROM g GROUP BY ALL),
+w AS (SELECT *, CASE WHEN max(r_max) OVER (PARTITION BY sheet_id ORDER BY r_min, r_max, data_gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= r_min THEN 0 ELSE 1 END AS n FROM box),
+e AS (SELECT *, sum(n) OVER (PARTITION BY sheet_id ORDER BY r_min, r_max, data_gid ROWS UNBOUNDED PRECEDING) AS enc FROM w), q AS (SELECT sheet_id, data_gid, min(r_min) OVER (PARTITION BY sheet_id, enc) AS pos FROM e),
+h AS (SELECT DISTINCT sheet_id, 'L' || (col % 3) AS layer, "row" AS f FROM grid WHERE "row" % 7 = 1), r AS (SELECT *, lead(f) OVER (PARTITION BY sheet_id, layer ORDER BY f) AS t FROM h),
+m AS (SELECT r.sheet_id, layer, 'h' || f AS header, data_gid, t IS NULL OR pos < t AS b FROM r JOIN q USING (sheet_id) WHERE pos >= f),
+k AS (SELECT *, bool_or(b) OVER (PARTITION BY sheet_id, layer, header) AS is_bounded FROM m)
+SELECT sheet_id, layer, header, data_gid, is_bounded FROM k WHERE b OR NOT is_bounded""")
+def layer_claims_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layered headers claim bands of blocks whose rows overlap, and so their blocks."""
+    g = grid(spark, sf_dir)
+    layered = g.where(F.col("row") % 7 == 1).select("sheet_id", F.concat(F.lit("L"), (F.col("col") % 3).cast("string")).alias("layer"), F.concat(F.lit("h"), F.col("row").cast("string")).alias("header"), "row", F.lit(0).alias("col")).distinct()
+    return mapping.layer_claims(layered, blocks.boundaries(blocks.components(g)), by_band=True)
+
+
 @query("""WITH l AS (SELECT DISTINCT c_mktsegment AS sheet_id, 'd' || (c_nationkey % 3) AS data_gid, 'a' || (c_custkey % 50) AS attr_gid, 'N_' || (c_custkey % 50 // 2 + CASE WHEN c_custkey % 10 = 0 THEN c_nationkey % 3 ELSE 0 END) AS attr_name FROM customer),
 g AS (SELECT DISTINCT sheet_id, data_gid, attr_gid, CASE WHEN min(attr_name) OVER e < max(attr_name) OVER e THEN 'G_' || max(attr_name) OVER e ELSE attr_name END AS attr_name FROM l WINDOW e AS (PARTITION BY sheet_id, attr_gid))
 SELECT sheet_id, data_gid, attr_gid, CASE WHEN count(*) OVER b > 1 THEN attr_name || '_' || row_number() OVER (PARTITION BY sheet_id, data_gid, attr_name ORDER BY attr_gid) ELSE attr_name END AS attr_name FROM g WINDOW b AS (PARTITION BY sheet_id, data_gid, attr_name)""")

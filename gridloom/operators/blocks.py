@@ -193,35 +193,43 @@ def meta(cells: DataFrame) -> DataFrame:
 
 
 def attributes_inside(cells: DataFrame) -> DataFrame:
-    """(sheet_id, inside, rect): attributes within the box of all values, and whether they are under one in a hundred."""
+    """(sheet_id, inside, rect): attributes within the box of all values; rect: they are under one in a hundred of the cells
+    there, and there are cells outside."""
     value = F.col("type") == "value"
     box = {f"{n}_{axis}": f(F.when(value, F.col(axis))).over(sheet()) for axis in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max))}
     out = cells.where("type <> 'empty'").withColumns(box)
-    inside = F.count_if((F.col("type") == "attribute") & F.col("row").between(F.col("lo_row"), F.col("hi_row")) & F.col("col").between(F.col("lo_col"), F.col("hi_col")))
-    share = inside / F.greatest(F.count_if(F.col("type") == "attribute"), F.lit(1))
-    return out.groupBy("sheet_id").agg(inside.alias("inside"), (share < 0.01).alias("rect"))
+    within = F.coalesce(F.col("row").between(F.col("lo_row"), F.col("hi_row")) & F.col("col").between(F.col("lo_col"), F.col("hi_col")), F.lit(False))
+    inside = F.count_if(within & (F.col("type") == "attribute"))
+    share = inside / F.greatest(F.count_if(within), F.lit(1))
+    return out.groupBy("sheet_id").agg(inside.alias("inside"), ((share < 0.01) & (F.count_if(~within) > 0)).alias("rect"))
 
 
-def angular_sides(cells: DataFrame, tolerance: float = 0.8) -> DataFrame:
-    """(sheet_id, well_sided): whether attributes lie on one of two opposite sides, as the sheet's diagonals cut it."""
+def angular_sides(cells: DataFrame, tolerance: float = 0.8, margin: float = 0) -> DataFrame:
+    """(sheet_id, well_sided, dimension_ok, sides): whether of opposite sides, as the sheet's diagonals cut it, one holds nearly
+    all attributes; whether these reach over 0.7 of the data there; and how many of the two pairs have attributes. Cells
+    no farther from a diagonal than `margin` don't count."""
     out = cells.where("type <> 'empty'").withColumns({f"{n}{axis[0]}": f(axis).over(sheet()) for axis in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max))})
     r, c = F.col("row") - F.col("lor"), F.col("col") - F.col("loc")
     height, wide = F.col("hir") - F.col("lor"), F.col("hic") - F.col("loc")
-    falling = r * wide - height * c
-    rising = height * wide - (r * wide + height * c)
-    side = F.when((falling > 0) & (rising > 0), "W").when((falling > 0) & (rising < 0), "S").when((falling < 0) & (rising > 0), "N").when((falling < 0) & (rising < 0), "E")
-    found = out.withColumn("side", side).where("type = 'attribute' and side is not null").groupBy("sheet_id", "side").count()
-    found = found.withColumn("pair", F.when(F.col("side").isin("N", "S"), "NS").otherwise("WE"))
-    share = found.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("sheet_id", "pair")))
-    spread = share.groupBy("sheet_id", "pair").agg(F.when(F.count("*") == 1, 1.0).otherwise(F.max("share") - F.min("share")).alias("spread"))
-    return spread.groupBy("sheet_id").agg(F.bool_and(F.col("spread") > tolerance).alias("well_sided"))
+    out = out.withColumn("falling", r * wide - height * c).withColumn("rising", height * wide - (r * wide + height * c))
+    out = out.where((F.abs("falling") > margin * margin) & (F.abs("rising") > margin * margin))
+    side = F.when(F.col("falling") > 0, F.when(F.col("rising") > 0, "W").otherwise("S")).otherwise(F.when(F.col("rising") > 0, "N").otherwise("E"))
+    out = out.withColumn("side", side).withColumn("pair", F.when(F.col("side").isin("N", "S"), "NS").otherwise("WE"))
+    out = out.withColumn("place", F.when(F.col("pair") == "NS", F.col("col")).otherwise(F.col("row")))
+    reach = lambda kind: F.when(F.count_if(F.col("type") == kind) <= 1, 1).otherwise(F.max(F.when(F.col("type") == kind, F.col("place"))) - F.min(F.when(F.col("type") == kind, F.col("place"))))
+    by = out.groupBy("sheet_id", "pair", "side").agg(F.count_if(F.col("type") == "attribute").alias("n"), F.count_if(F.col("type") == "value").alias("values"), reach("attribute").alias("reach"), reach("value").alias("data")).where("n > 0")
+    by = by.withColumn("part", F.try_divide(F.col("reach"), F.when(F.col("values") > 0, F.col("data")).otherwise(F.col("reach"))))
+    share = by.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("sheet_id", "pair")))
+    spread = share.groupBy("sheet_id", "pair").agg(F.when(F.count("*") == 1, 1.0).otherwise(F.max("share") - F.min("share")).alias("spread"), F.max_by("part", F.struct("share", F.col("side"))).alias("part"))
+    return spread.groupBy("sheet_id").agg(F.bool_and(F.col("spread") > tolerance).alias("well_sided"), F.bool_and(F.coalesce(F.col("part") > 0.7, F.lit(True))).alias("dimension_ok"), F.count("*").alias("sides"))
 
 
 def overview(cells: DataFrame) -> DataFrame:
-    """(sheet_id, inside, rect, well_sided, well_shaped): a sheet is well shaped if no attributes lie among its values, or if
-    one of either pair of opposite sides holds nearly all of them; sheets without attributes are not well sided."""
-    out = attributes_inside(cells).join(angular_sides(cells), "sheet_id", "left").withColumn("well_sided", F.coalesce("well_sided", F.lit(False)))
-    return out.withColumn("well_shaped", F.col("rect") | F.col("well_sided"))
+    """(sheet_id, inside, rect, well_sided, dimension_ok, well_shaped): a sheet is well shaped if next to no attributes lie among
+    its values, or if either pair of opposite sides has attributes, nearly all on one side and along most of the data."""
+    out = attributes_inside(cells).join(angular_sides(cells), "sheet_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("well_sided", "dimension_ok")})
+    return out.withColumn("well_shaped", F.col("rect") | (F.col("well_sided") & F.col("dimension_ok") & (F.col("sides") == 2))).drop("sides")
 
 
 def filter_blocks(cells: DataFrame, condition: Column | str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def _seen(row: Column, col: Column) -> tuple[Column, Column]:
     return F.when(both == "", "INSIDE").otherwise(both), dr * dr + dc * dc
 
 
+def distance(row: Column, col: Column) -> Column:
+    """The distance of a cell from the box r_min..c_max beside it."""
+    return F.sqrt(_seen(row, col)[1].cast("double"))
+
+
 def direction_map(attributes: DataFrame, boxes: DataFrame, inside: bool = False) -> DataFrame:
     """Every attribute cell as seen from every data box of its sheet: direction, its group and the distance. Boxes are few
     beside cells, so the join is on the sheet with one row per box."""
@@ -86,12 +93,12 @@ def attach(data: DataFrame, header: DataFrame, tag: str) -> DataFrame:
     return placed.join(h.withColumn("_h", F.col(f"header_{axis}")), ["sheet_id", "_h"]).drop("_h")
 
 
-def bind(data: DataFrame, header: DataFrame, tag: str) -> DataFrame:
-    """attach(), but a header of one cell goes to every cell of its sheet."""
+def bind(data: DataFrame, header: DataFrame, tag: str, binder: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """attach(), but a header of one cell goes to every cell of its sheet. binder: does what attach() does otherwise."""
     n = header.groupBy("sheet_id").agg(F.count("*").alias("_n"))
     one = header.join(n.where("_n = 1"), "sheet_id", "left_semi")
     more = header.join(n.where("_n > 1"), "sheet_id", "left_semi")
-    return attach(data, more, tag).unionByName(attach(data, one, "direct"))
+    return (binder or attach)(data, more, tag).unionByName(attach(data, one, "direct"))
 
 
 def representatives(data: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import kept
-from .blocks import closure, corners_of
-from .headers import direction_map, nearest_attributes
+from .blocks import closure, corners_of, enclosure
+from .headers import direction_map, distance, nearest_attributes
 
 EDGE = ["sheet_id", "attr_gid", "data_gid"]
 
@@ -57,10 +57,13 @@ def sync_names(lines: DataFrame) -> DataFrame:
     return lines.withColumn("attr_name", F.concat_ws("_", "direction", *side, k.cast("string")))
 
 
-def layer_claims(headers: DataFrame, boxes: DataFrame, axis: str = "row") -> DataFrame:
+def layer_claims(headers: DataFrame, boxes: DataFrame, axis: str = "row", by_band: bool = False) -> DataFrame:
     """Layered headers claim data blocks: each from its own place up to the next header of its layer. headers: (sheet_id,
-    layer, header, row, col); boxes: data blocks. A header whose range holds no block keeps all from its place on."""
+    layer, header, row, col); boxes: data blocks. A header whose range holds no block keeps all from its place on. by_band:
+    blocks whose ranges overlap along the axis are claimed together, by where the first of them begins."""
     lo = "r_min" if axis == "row" else "c_min"
+    if by_band:
+        boxes, lo = enclosure(boxes, axis), "e_min"
     w = Window.partitionBy("sheet_id", "layer").orderBy(axis)
     at = headers.withColumn("to", F.lead(axis).over(w)).select("sheet_id", "layer", "header", F.col(axis).alias("from"), "to")
     met = at.join(boxes.select("sheet_id", F.col("gid").alias("data_gid"), F.col(lo).alias("at")), "sheet_id").where("`at` >= `from`")
@@ -83,6 +86,21 @@ def relative_sides(seen: DataFrame) -> DataFrame:
     return seen.select(*cell).distinct().join(both, ["sheet_id", "attr_gid"]).select(*cell, side.alias("side"))
 
 
+def enclosed_allocation(attributes: DataFrame, boxes: DataFrame, axis: str = "row") -> DataFrame:
+    """Attribute cells as the bands of data blocks (blocks whose ranges overlap along the axis, each band as wide as all of
+    them) see them, allocated to bands, and then to every block of their band, at the distance from the block itself."""
+    across = ("c_min", "c_max") if axis == "row" else ("r_min", "r_max")
+    along = ("r_min", "r_max") if axis == "row" else ("c_min", "c_max")
+    member = enclosure(boxes, axis)
+    band = member.groupBy("sheet_id", F.col("enclosure").cast("string").alias("gid")).agg(F.min("e_min").alias(along[0]), F.max("e_max").alias(along[1]), F.min(across[0]).alias(across[0]), F.max(across[1]).alias(across[1]))
+    every = Window.partitionBy("sheet_id")
+    band = band.withColumns({across[0]: F.min(across[0]).over(every), across[1]: F.max(across[1]).over(every)})
+    dealt = central(direction_map(attributes, band)).select("sheet_id", "attr_gid", F.col("data_gid").alias("band"), "row", "col", "direction", "direction_group")
+    own = member.select("sheet_id", F.col("enclosure").cast("string").alias("band"), F.col("gid").alias("data_gid"), "r_min", "r_max", "c_min", "c_max")
+    far = distance(F.col("row"), F.col("col"))
+    return dealt.join(own, ["sheet_id", "band"]).select("sheet_id", "attr_gid", "data_gid", "row", "col", "direction", "direction_group", far.alias("dist"))
+
+
 def allocation_variation(allocation: DataFrame) -> DataFrame:
     """(sheet_id, variation) of an allocation's mean distances: the sum over directions of the variance over data blocks, a
     missing distance counting as 0; 0 for one block. Smaller means more regular."""

@@ -24,8 +24,16 @@ def _tar(raw: bytes, name: str) -> list[tuple[str, bytes]]:
         return [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile()]
 
 
-def _single(f: Callable[[bytes], bytes]) -> Callable[[bytes, str], list[tuple[str, bytes]]]:
-    return lambda raw, name: [(name.rsplit("/", 1)[-1].rsplit(".", 1)[0], f(raw))]
+#: Bytes that a compressed file gives at a time.
+BUFFER = 10_000_000
 
 
-DECOMPRESSORS |= {"zip": _zip, "tar": _tar, "gz": _single(gzip.decompress), "bz2": _single(bz2.decompress), "xz": _single(lzma.decompress)}
+def _single(opened: Callable[[io.BytesIO], io.IOBase]) -> Callable[[bytes, str], list[tuple[str, bytes]]]:
+    def run(raw: bytes, name: str) -> list[tuple[str, bytes]]:
+        with opened(io.BytesIO(raw)) as f:
+            return [(name.rsplit("/", 1)[-1].rsplit(".", 1)[0], b"".join(iter(lambda: f.read(BUFFER), b"")))]
+
+    return run
+
+
+DECOMPRESSORS |= {"zip": _zip, "tar": _tar, "gz": _single(gzip.open), "bz2": _single(bz2.open), "xz": _single(lzma.open)}

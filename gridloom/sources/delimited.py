@@ -59,6 +59,11 @@ def text_cells(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     return cells.select("sheet_id", "row", "col", F.when(F.col("value").rlike(r"^[+-]?\d+(\.\d+)?$"), "numeric").otherwise("character").alias("data_type"), "value")
 
 
+def csv_cells(lines: DataFrame) -> DataFrame:
+    """Cells of (sheet_id, line_no, line) rows with commas between fields, without a look at the dialect."""
+    return text_cells(lines, lines.select("sheet_id", F.lit("comma").alias("dialect")).distinct())
+
+
 def text_lines(contents: DataFrame) -> DataFrame:
     """(sheet_id, line_no, line) of (sheet_id, content) rows with bytes."""
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
