@@ -2,22 +2,23 @@
 
 Words are runs of letters, digits and underscores in lower case. A document's word sequence is joined with the items of
 a benchmark on the seeds that they share, a seed being `min_match` words in a row. For every item whose seeds could cover
-enough of it, tiles are laid: the longest common runs of unmarked words, found by Karp-Rabin hashes of shrinking length,
-are marked first, and no word is marked twice on either side. The share of an item's words that tiles mark is its
-coverage; so passages that were cut up and reordered are found as well.
-
-The benchmark is taken in blocks of at most BLOCK_WORDS words, each broadcast with that bound and held against all
-documents; a benchmark of any size is covered by as many blocks as it needs.
-
-Cases: null texts count as empty; items with fewer words than `min_match` can't be matched and give no rows; rows that
-repeat an item id are one item each and the best of them counts; repeated documents give repeated rows; whole texts are
-read whatever their length; other columns are ignored; an empty table on either side gives no rows.
+enough of it, tiles are laid by running Karp-Rabin: hashes of all unmarked runs of one length are compared, the longest
+length that item and text have in common is found by bisection, its matches are marked from the item's first on, each at
+its first free place in the text, and the search goes on below that length. No word is marked twice on either side. The
+share of an item's words that tiles mark is its coverage; so passages that were cut up and reordered are found as well.
+All steps work on whole arrays of the text's length, so repetitive texts and items cost no more than others.
+
+The benchmark is taken in blocks of at most BLOCK_WORDS words (or one item), each broadcast with that bound and held
+against all documents; a benchmark of any size is covered by as many blocks as it needs.
+
+Cases: null texts count as empty; items with fewer words than `min_match` are found where they stand alone, as a whole
+line; items without words give no rows; rows that repeat an item id are one item each and the best of them counts;
+repeated documents give repeated rows; whole texts are read whatever their length; other columns are ignored; an empty
+table on either side gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
-import itertools
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded, written
+from .common import bounded, mix64, text_batches, written
 
 BLOCK_WORDS = 1_000_000
 MIN_MATCH = 5
@@ -34,55 +35,68 @@ THRESHOLD = 0.5
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def rolling(ids: np.ndarray, k: int) -> np.ndarray:
-    """Karp-Rabin hashes of all runs of k ids."""
-    out = np.zeros(max(0, len(ids) - k + 1), np.uint64)
-    for i in range(k):
-        out = out * _BASE + ids[i : len(ids) - k + 1 + i].astype(np.uint64)
-    return out
-
-
-def tiles(starts: list[tuple[int, int]], min_match: int) -> list[tuple[int, int, int]]:
-    """(start in item, start in text, length) of the tiles, from the places (in item, in text) where a seed matches.
-
-    Matches that follow each other on a diagonal are one match; the longest is marked first, and what earlier tiles
-    leave unmarked of a match waits for its turn at its own length."""
-    waiting: list[tuple[int, int, int]] = []
-    run: list[int] = []
-    for i, t in sorted(starts, key=lambda x: (x[0] - x[1], x[0])):
-        if run and run[0] - run[1] == i - t and run[0] + run[2] == i + min_match - 1:
-            run[2] += 1
-        else:
-            if run:
-                waiting.append((-run[2], run[0], run[1]))
-            run = [i, t, min_match]
-    if run:
-        waiting.append((-run[2], run[0], run[1]))
-    heapq.heapify(waiting)
-    of_item: set[int] = set()
-    of_text: set[int] = set()
-    found = []
-    while waiting:
-        size, i, t = heapq.heappop(waiting)
-        free = [i + k not in of_item and t + k not in of_text for k in range(-size)]
-        if all(free):
-            found.append((i, t, -size))
-            of_item.update(range(i, i - size))
-            of_text.update(range(t, t - size))
-            continue
-        at = 0
-        for open_, part in itertools.groupby(free):
-            n = len(list(part))
-            if open_ and n >= min_match:
-                heapq.heappush(waiting, (-n, i + at, t + at))
-            at += n
-    return found
+class Runs:
+    """Karp-Rabin hashes of runs of any length over a sequence of ids, by prefix sums; marked and negative ids are in none."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids = ids
+        self.free = ids >= 0
+        n = len(ids)
+        self.down = np.full(n, _INVERSE, np.uint64)
+        up = np.full(n, _BASE, np.uint64)
+        if n:
+            self.down[0] = up[0] = 1
+        self.down = np.cumprod(self.down, dtype=np.uint64)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(ids.astype(np.uint64)) * np.cumprod(up, dtype=np.uint64), dtype=np.uint64)))
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the runs of that length without a marked word."""
+        taken = np.concatenate(([0], np.cumsum(~self.free)))
+        at = np.flatnonzero(taken[size:] == taken[:-size]) if size <= len(self.ids) else np.zeros(0, np.int64)
+        return at, (self.sums[at + size] - self.sums[at]) * self.down[at]
+
+
+def tiles(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """(start in item, start in text, length) of the tiles of two sequences of ids; negative ids match nothing."""
+    a, b = Runs(item), Runs(text)
+    found: list[tuple[int, int, int]] = []
+    high = len(item)
+    while True:
+        low, best = min_match, 0
+        while low <= high:  # the longest length in common
+            size = (low + high) // 2
+            if np.isin(a.of(size)[1], b.of(size)[1]).any():
+                low, best = size + 1, size
+            else:
+                high = size - 1
+        if not best:
+            return found
+        (starts, own), (places, other) = a.of(best), b.of(best)
+        order = np.argsort(other, kind="stable")
+        places, other = places[order], other[order]
+        next_at: dict[int, int] = {}  # by hash: the first place that may still be free
+        for i, h in zip(starts[np.isin(own, other)].tolist(), own[np.isin(own, other)].tolist(), strict=True):
+            if not a.free[i : i + best].all():
+                continue
+            k = next_at.get(h, -1)
+            k = int(np.searchsorted(other, np.uint64(h))) if k < 0 else k
+            while k < len(other) and other[k] == h:
+                t = int(places[k])
+                if b.free[t : t + best].all() and (item[i : i + best] == text[t : t + best]).all():
+                    a.free[i : i + best] = False
+                    b.free[t : t + best] = False
+                    found.append((i, t, best))
+                    break
+                k += 1
+            next_at[h] = k
+        high = best - 1
 
 
 class Index:
@@ -90,56 +104,71 @@ class Index:
 
     def __init__(self, items: list[tuple[int, list[str]]], min_match: int) -> None:
         self.min_match = min_match
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for i, ws in items:
+            if len(ws) < min_match:
+                self.short.setdefault(tuple(ws), []).append(i)
+        items = [(i, ws) for i, ws in items if len(ws) >= min_match]
         self.vocabulary: dict[str, int] = {}
-        self.items = [(i, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64)) for i, ws in items]
-        seeds = [rolling(ids, min_match) for _, ids in self.items]
-        seed = np.concatenate(seeds)
+        self.items = [(i, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], np.int64)) for i, ws in items]
+        seeds = [Runs(ids).of(min_match)[1] for _, ids in self.items]
+        seed = np.concatenate([np.zeros(0, np.uint64), *seeds])
         order = np.argsort(seed, kind="stable")
         self.seed = seed[order]
-        self.item = np.concatenate([np.full(len(x), k, np.int64) for k, x in enumerate(seeds)])[order]
-        self.at = np.concatenate([np.arange(len(x)) for x in seeds])[order]
+        self.item = np.concatenate([np.zeros(0, np.int64), *[np.full(len(x), k, np.int64) for k, x in enumerate(seeds)]])[order]
+        self.at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in seeds]])[order]
 
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, int, int, int]]:
         """(item id, its words, words that tiles mark, tiles) of the items that are covered enough."""
         k, known = self.min_match, self.vocabulary.get
-        ids = np.array([known(w, 0) for w in words(text)], np.int64)
-        if len(ids) < k:
-            return []
-        gaps = np.concatenate(([0], np.cumsum(ids == 0)))
-        whole = np.flatnonzero(gaps[k:] == gaps[:-k])
-        if not len(whole):
-            return []
-        hashes = rolling(ids, k)[whole]
-        lo, hi = np.searchsorted(self.seed, hashes, "left"), np.searchsorted(self.seed, hashes, "right")
-        n = hi - lo
-        if not n.any():
-            return []
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, i, t = self.item[which], self.at[which], np.repeat(whole, n)
-        order = np.argsort(item, kind="stable")
-        item, i, t = item[order], i[order], t[order]
         out = []
-        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
-            own, own_ids = self.items[item[part[0]]]
-            covered = np.zeros(len(own_ids), bool)
-            for j in range(k):
-                covered[np.minimum(i[part] + j, len(own_ids) - 1)] = True
-            if covered.sum() < threshold * len(own_ids):
+        if self.short and text:
+            alone = {tuple(ws) for line in text.split("\n") if (ws := words(line)) and len(ws) < k}
+            out += [(i, len(ws), len(ws), 1) for ws in alone for i in self.short.get(ws, ())]
+        ids = np.array([known(w, -1) for w in words(text)], np.int64)
+        if len(ids) < k or not len(self.seed):
+            return out
+        runs = Runs(ids)
+        whole, hashes = runs.of(k)
+        lo = np.searchsorted(self.seed, hashes, "left")
+        hit = self.seed[np.minimum(lo, len(self.seed) - 1)] == hashes
+        if not hit.any():
+            return out
+        whole, hashes = whole[hit], hashes[hit]
+        different = np.unique(hashes)
+        lo, hi = np.searchsorted(self.seed, different, "left"), np.searchsorted(self.seed, different, "right")
+        n = hi - lo
+        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # the places in items, not those in the text
+        which = which[np.argsort(self.item[which], kind="stable")]
+        item = self.item[which]
+        for part in np.split(which, np.flatnonzero(np.diff(item)) + 1):
+            own, own_ids = self.items[self.item[part[0]]]
+            covered = np.zeros(len(own_ids) + 1, np.int64)
+            np.add.at(covered, self.at[part], 1)
+            np.add.at(covered, self.at[part] + k, -1)
+            if (np.cumsum(covered)[:-1] > 0).sum() < threshold * len(own_ids):
                 continue
-            starts = [(a, b) for a, b in zip(i[part].tolist(), t[part].tolist(), strict=True) if (own_ids[a : a + k] == ids[b : b + k]).all()]
-            laid = tiles(starts, k)
+            laid = tiles(own_ids, self._near(ids, whole[np.isin(hashes, self.seed[part])]), k)
             marked = sum(x[2] for x in laid)
             if marked >= threshold * len(own_ids):
                 out.append((own, len(own_ids), marked, len(laid)))
         return out
 
+    def _near(self, ids: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        """The words of the text that are in the seeds, those of one stretch together, with -1 between stretches."""
+        inside = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(inside, seeds, 1)
+        np.add.at(inside, seeds + self.min_match, -1)
+        at = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+        return np.insert(ids[at], np.flatnonzero(np.diff(at) > 1) + 1, -1)
+
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, min_match: int) -> Iterator[Index]:
     held: list[tuple[int, list[str]]] = []
     size = 0
     for row in benchmark.select(item_id, item_text).toLocalIterator():
         found = words(row[1])
-        if len(found) < min_match:
+        if not found:
             continue
         if held and size + len(found) > BLOCK_WORDS:
             yield Index(held, min_match)
@@ -152,6 +181,7 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, min_match: int)
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
     """(id, item_id, n_words, n_marked, n_tiles, coverage) of the pairs whose coverage reaches the threshold."""
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, item_id bigint, n_words bigint, n_marked bigint, n_tiles bigint, coverage double"
 
