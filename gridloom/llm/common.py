@@ -121,6 +121,14 @@ def passes(held: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (held[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch to TEXT_BATCH_ROWS for this session; Spark bounds its bytes too. A plan reads the
+    setting when it runs, after the operator has returned, so it stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
 def bounded(batches: Iterator[pa.RecordBatch], rows: int = TEXT_BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of some rows. Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB);
     the slices bound what a worker holds of it as Python objects."""

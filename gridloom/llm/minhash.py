@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, bounded, components, discard, filter_of, mix64, passes, scratch, written
+from .common import WordHasher, bounded, components, discard, filter_of, mix64, passes, scratch, text_batches, written
 
 TREES = 20
 #: Hash functions of a tree's own; a label goes on with those of the following trees.
@@ -272,6 +272,7 @@ def _star(found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; linked: den * intersection >= num * union of the shingle sets."""
+    text_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
         out = _classified(docs, id_col, text_col, width, num, den)
         keep(out)

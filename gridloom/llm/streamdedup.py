@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, filter_of, new_path, opened, scratch, written
+from .common import bounded, filter_of, new_path, opened, scratch, text_batches, written
 
 #: Files of arrivals that a micro-batch takes.
 FILES = 64
@@ -109,6 +109,7 @@ def _texts_of(docs: DataFrame, id_col: str, text_col: str, hits: DataFrame, dige
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256, locator) of every row; locator: the file that holds the row that stays."""
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     with scratch(spark) as keep:
         path = new_path(spark, "arrivals")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import bounded, text_batches, written
 
 BLOCK_TOKENS = 1 << 16
 FAN = 1024
@@ -54,6 +54,7 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Tokenises documents into flat files, one a partition, as blocks of `block_tokens` ids (of two bytes each).
 
     ids: the documents whose separators lie in the block, in their order; the scan itself reads the payload alone."""
+    text_batches(docs.sparkSession)
     path = ranks_file or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +94,7 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Blocks of flat token files below a folder; a file may have 2 GB, as Spark's binary reader holds it in one row."""
+    text_batches(spark)
     step = width * block_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
