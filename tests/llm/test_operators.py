@@ -249,7 +249,7 @@ def test_unclosed_boilerplate_is_not_stripped():
 def test_names_count_as_a_whole():
     for name in ("share-your-story", "search-and-rescue", "adventure", "header-of-the-game", "navy", "commentary"):
         assert htmltext.main_text(f"<div><p>One.</p><div class={name}><p>Two and more.</p></div></div>") == "One.\nTwo and more."
-    for name in ("ad", "site-footer", "share-buttons", "Comments", "cookieNotice", "x main-nav", "ad_slot_2", "newsletter-signup-box"):
+    for name in ("ad", "site-footer", "share-buttons", "Comments", "cookieNotice", "x main-nav", "ad_slot_2", "newsletter-signup-box", "ad-300x250", "reader-comments", "related-articles", "cookie-warning"):
         assert htmltext.main_text(f'<div><p>One.</p><div class="{name}"><p>Two and more.</p></div></div>') == "One."
 
 
