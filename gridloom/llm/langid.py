@@ -5,8 +5,8 @@ has at most 2^24 n-grams whatever the corpus, which bounds what is collected and
 rows are counted in the tasks and summed by Spark; lower orders use continuation counts. All languages share one sorted
 array of hashed n-grams for the highest order and one for the next, with a row of log probabilities per language; n-grams
 that no language has seen back off by their contexts' weights. A text goes to the language with the lowest cross-entropy
-per symbol. A first model without one tenth of the training rows is calibrated on that tenth: it gives the score's
-temperature and the score below which `rejected` is set. The final model counts all training rows.
+per symbol. The model counts all training rows. The score's temperature and the score below which `rejected` is set come
+from all of them too: each is judged by a model of the half of the rows that it isn't in.
 
 Cases: a null text or one without letters gives `und` and score 0; ties go to the first language in order of name; rows
 with a null language don't train; without training rows every text is `und`; whole texts are read whatever their length;
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded, scratch, text_batches, written
 
-#: Rows that calibrate the score, at most, by a hash of the id.
-CALIBRATION = 4_000
+#: Temperatures that are tried, and steps of the score in which rows are counted for the threshold.
+TEMPERATURES = np.array([0.05 * 1.3**k for k in range(24)])
+BINS = 1_000
 #: Share of right answers that the rejection threshold asks for.
 PRECISION = 0.99
 #: n-grams that a task holds before it sums them.
@@ -168,28 +169,6 @@ class Model:
         score = float(1 / np.exp(-self.temperature * np.sqrt(n) * (h - h[best])).sum())
         return self.languages[best], score, score < self.least
 
-    def calibrate(self, rows: list[tuple[np.ndarray, int, str]]) -> None:
-        """rows: entropies, symbols and true language. Fits the temperature by likelihood, then the rejection threshold."""
-        rows = [r for r in rows if r[1] and r[2] in self.languages]
-        if not rows:
-            return
-        gaps = np.array([h - h.min() for h, _, _ in rows])
-        root = np.sqrt([n for _, n, _ in rows])[:, None]
-        true = np.array([self.languages.index(l) for _, _, l in rows])
-        every = np.arange(len(rows))
-
-        def loss(t: float) -> float:
-            z = -t * root * gaps
-            return float((np.log(np.exp(z).sum(axis=1)) - z[every, true]).mean())
-
-        self.temperature = min((0.05 * 1.3**k for k in range(24)), key=loss)
-        z = np.exp(-self.temperature * root * gaps)
-        score, right = 1 / z.sum(axis=1), gaps.argmin(axis=1) == true
-        order = np.argsort(-score)
-        share = np.cumsum(right[order]) / np.arange(1, len(rows) + 1)
-        good = np.flatnonzero(share >= PRECISION)
-        self.least = float(score[order[good[-1]]]) if len(good) else 1.0
-
 
 def _counted(rows: DataFrame) -> DataFrame:
     """(lang, key, n) of (text, lang) rows."""
@@ -231,9 +210,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.where(F.expr(trains)).where(F.col(lang_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    tenth = F.pmod("h", F.lit(10)) == 0
+    half = F.pmod("h", F.lit(2)) == 0
     with scratch(spark):
-        found = written(_counted(rows.select("text", F.concat(tenth.cast("int").cast("string"), "lang").alias("lang"))), "ngrams").toArrow()
+        found = written(_counted(rows.select("text", F.concat(half.cast("int").cast("string"), "lang").alias("lang"))), "ngrams").toArrow()
     lang = np.array(found.column(0).to_pylist(), object)
     keys, n = found.column(1).to_numpy().astype(np.int64), found.column(2).to_numpy()
     parts = {}
@@ -241,25 +220,55 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         own = lang == l
         order = np.argsort(keys[own])
         parts[l] = keys[own][order], n[own][order]
-    model = Model({l[1:]: c for l, c in parts.items() if l[0] == "0"})
-    if model.languages:
-        held = spark.sparkContext.broadcast(model)
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in bounded(batches):
-                got = [held.value.entropies(x) for x in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([h.tolist() for h, _ in got], pa.list_(pa.float64())), pa.array([n for _, n in got], pa.int64()), batch.column(1)], ["h", "n", "lang"])
-
-        own = rows.where(tenth)
-        count = max(1, own.count())
-        own = own.where(F.pmod(F.shiftright("h", 8), F.lit(1 << 20)) < int(min(1.0, CALIBRATION / count) * (1 << 20)))
-        got = own.select("text", "lang").mapInArrow(measure, "h array<double>, n bigint, lang string").toArrow().to_pylist()
-        model.calibrate([(np.array(r["h"]), r["n"], r["lang"]) for r in got])
     final = Model({l: _summed([parts[x] for x in ("0" + l, "1" + l) if x in parts]) for l in {x[1:] for x in parts}})
-    final.temperature, final.least = model.temperature, model.least
+    if final.languages:
+        _calibrated(final, [Model({l[1:]: c for l, c in parts.items() if l[0] == k}) for k in "01"], rows.withColumn("own", half.cast("int")))
     return final
 
 
+def _calibrated(final: Model, halves: list[Model], rows: DataFrame) -> None:
+    """Temperature and threshold from all (text, lang, own) rows, each by the model of the half that it isn't in. Their sums and
+    counts by score are made in the tasks."""
+    held = rows.sparkSession.sparkContext.broadcast(halves)
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+        """(weighted gaps, place of the true language) of the rows that count."""
+        for batch in bounded(batches):
+            for text, lang, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                model = held.value[1 - own]
+                if lang in model.languages:
+                    h, n = model.entropies(text)
+                    if n:
+                        yield np.sqrt(n) * (h - h.min()), model.languages.index(lang)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, count = np.zeros(len(TEMPERATURES)), 0
+        scores: dict[tuple[int, int, bool], int] = defaultdict(int)
+        for z, true in gaps(batches):
+            total = np.exp(-TEMPERATURES[:, None] * z).sum(axis=1)
+            loss += np.log(total) + TEMPERATURES * z[true]
+            count += 1
+            for k, s in enumerate(np.floor(BINS / total).astype(int).tolist()):
+                scores[k, s, bool(z[true] == 0 and z.argmin() == true)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(loss)), pa.int32()), pa.array([-1] * len(loss), pa.int32()), pa.array([False] * len(loss)), pa.array(loss), pa.array([count] * len(loss), pa.int64())], ["k", "bin", "right", "loss", "n"])
+        at = list(scores)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), pa.array([x[2] for x in at], pa.bool_()), pa.array([0.0] * len(at)), pa.array([scores[x] for x in at], pa.int64())], ["k", "bin", "right", "loss", "n"])
+
+    found = rows.select("text", "lang", "own").mapInArrow(measure, "k int, bin int, right boolean, loss double, n bigint")
+    found = found.groupBy("k", "bin", "right").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).toArrow().to_pylist()
+    if not any(r["n"] for r in found):
+        return
+    best = min((r for r in found if r["bin"] < 0), key=lambda r: (r["loss"], r["k"]))["k"]
+    final.temperature = float(TEMPERATURES[best])
+    counts = np.zeros((2, BINS + 1))
+    for r in found:
+        if r["k"] == best and r["bin"] >= 0:
+            counts[int(r["right"]), r["bin"]] += r["n"]
+    counts = counts[:, ::-1].cumsum(axis=1)
+    good = np.flatnonzero(counts[1] >= PRECISION * np.maximum(counts.sum(axis=0), 1))
+    final.least = float((BINS - good[-1]) / BINS) if len(good) else 1.0
+
+
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
