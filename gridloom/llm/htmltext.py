@@ -8,8 +8,8 @@ end a line. Where something was stripped or a sectioning element begins or ends,
 text lengths (without linked text) are summed over sliding windows of WINDOW lines: a line where the sum rises from zero
 is a surge point, a line where it is back at zero a dive point, and the text between a surge and its dive is a hill.
 
-Of a page with text in an article or main element that is not stripped itself all lines in it are kept, as what is
-stripped inside cuts an article into hills of any size. On other pages the first and the last hill whose highest window is
+Where such an article or main element (one that is not stripped itself) has a hill whose highest window is at least SHARE of
+the page's highest, all lines in it are kept, as what is stripped inside cuts an article into hills of any size. On other pages the first and the last hill whose highest window is
 at least SHARE of the page's highest mark the main text, and what lies between that surge and that dive point is kept,
 short lines included, but for hills of several lines that are mostly links without sentences. Before and after it, hills
 are kept that are no such links and don't speak like a notice (copyright, cookies, signing up).
@@ -153,8 +153,9 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
 
 def main_text(page: str | None) -> str:
     lines, in_article = page_lines(page or "")
-    if in_article:
-        return "\n".join(t for t, _, inside in lines if t and inside)
+    article = [t for t, _, inside in lines if t and inside]
+    within = [inside for _, _, inside in lines]
+    lines = [(t, k, t != "") for t, k, _ in lines]
     weight = [max(0, len(t) - k) if inside else 0 for t, k, inside in lines]
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
     hills: list[tuple[int, list[int]]] = []
@@ -169,6 +170,8 @@ def main_text(page: str | None) -> str:
             members.append(i)
     top = max((peak for peak, _ in hills), default=0)
     high = [k for k, (peak, _) in enumerate(hills) if top and peak >= SHARE * top]
+    if in_article and (not high or any(within[i] for k in high for i in hills[k][1])):
+        return "\n".join(article)
     kept: list[int] = []
     for k, (_, members) in enumerate(hills):
         linked = 2 * sum(lines[i][1] for i in members) > sum(len(lines[i][0]) for i in members) and 2 * sum(bool(_SENTENCE.search(lines[i][0])) for i in members) < len(members)

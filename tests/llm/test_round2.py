@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.llm import langid, linededup
+from gridloom.llm import htmltext, langid, linededup
 
 
 def test_lines_within_the_similarity_equal_the_plain_distance(spark):
@@ -51,3 +51,9 @@ def test_language_scores_are_calibrated_on_all_training_rows(spark):
     score, right = 1 / np.exp(-model.temperature * z).sum(axis=1), z.argmin(axis=1) == true
     cuts = [c / langid.BINS for c in range(langid.BINS + 1) if (score >= c / langid.BINS).any() and right[score >= c / langid.BINS].mean() >= langid.PRECISION]
     assert model.least == (min(cuts) if cuts else 1.0)
+
+
+def test_a_teaser_article_beside_the_main_text_is_not_the_page():
+    body = [f"Sentence {k} of the main text, " + "which goes on for a while " * 8 + "and ends." for k in range(6)]
+    page = "<body><div>" + "".join(f"<p>{x}</p>" for x in body) + "</div><div></div><article><p>A short card.</p></article></body>"
+    assert htmltext.main_text(page).split("\n")[:6] == body
