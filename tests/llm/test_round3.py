@@ -1,11 +1,11 @@
-"""Toxicity fitted on all training rows, by brute force."""
+"""Toxicity fitted on all training rows, by brute force, and the verification of fuzzy lines."""
 
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.llm import toxicity
+from gridloom.llm import linededup, toxicity
 
 
 def corpus(spark, n):
@@ -50,3 +50,9 @@ def test_sums_by_the_executors_give_the_same_scores(spark, monkeypatch):
     there = toxicity.scored(docs, model).orderBy("doc_id", F.desc("score")).collect()
     assert len(here) == 603 and [x["doc_id"] for x in here] == [x["doc_id"] for x in there]
     assert np.allclose([x["score"] for x in here], [x["score"] for x in there], atol=1e-7)
+
+
+def test_pairs_of_lines_are_dealt_before_they_are_verified(spark):
+    both = spark.range(10).selectExpr("id as a", "id as b", "repeat('x', 50) as x", "repeat('y', 50) as y")
+    plan = linededup._checked(both, 8, 0.85)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("levenshtein") < plan.index("Repartition")
